@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import durable, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,35 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 8 of equal weight, its slot there, and its shard among 9."""
+    placed = sharding.assign_shards(
+        table(spark, sf_dir, "documents"), {s: 1.0 for s in range(8)}, {s: 1.0 for s in range(9)}
+    )
+    return placed.withColumnRenamed("key", "doc_id")
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through a new ledger in the shared folder."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.BlobLedger(spark, f"{durable.shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    ledger.scan(documents)
+    spans = F.col("secret_spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    listed = ledger.findings_of(documents).withColumn("spans", secrets.spans_string(spans))
+    return listed.select(
+        "doc_id", *[count(rule[0]) for rule in secrets.RULES],
+        F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op8_secret_ledger": op8_secret_ledger,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
