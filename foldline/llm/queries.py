@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import durable, secrets, sharding, simhash
+from . import decontaminate, durable, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,20 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items they come from."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.hits(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
+    leak = F.col("leak")
+    words = F.aggregate(leak["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_items = F.size(leak["items"]).cast("long")
+    return found.select(
+        "doc_id", leak["n_words"].alias("n_words"), words.alias("n_hit"), n_items.alias("n_items"),
+        F.sha2(F.array_join(leak["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        (n_items >= 2).alias("contaminated"), leak["longest"].alias("longest_match"),
+    )
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 8 of equal weight, its slot there, and its shard among 9."""
     placed = sharding.assign_shards(
@@ -50,6 +64,7 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op8_secret_ledger": op8_secret_ledger,
 }

@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, merge_labels
 from .durable import durable
-from .textkit import lower_ascii, shingle_hashes
+from .textkit import lower_ascii, shingle_hashes, texts_of, with_columns
 
 #: Shingles whose bits are counted at once.
 BIT_BATCH = 1 << 15
@@ -74,15 +75,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = [f"f{w}" for w in range(words)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((len(batch), words), np.uint64)
-            for i, text in enumerate(batch["text"]):
+            found = np.zeros((batch.num_rows, words), np.uint64)
+            for i, text in enumerate(texts_of(batch, "text")):
                 found[i] = fingerprint(shingle_hashes(lower_ascii(text), width), words)
-            yield pd.DataFrame({"id": batch["id"]} | {n: found[:, w].view(np.int64) for w, n in enumerate(names)})
+            signed = np.ascontiguousarray(found.T).view(np.int64)
+            yield with_columns(batch, {n: pa.array(signed[w]) for w, n in enumerate(names)}, ("text",))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def hamming_limit(similarity: float, bits: int) -> int:

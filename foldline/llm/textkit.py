@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words of the near-duplicate operators: anything but ASCII white space.
@@ -36,3 +37,14 @@ def shingle_hashes(data: bytes, width: int, seed: int = 42) -> np.ndarray:
     ends = (starts + lengths)[width - 1 :]
     spans = zip(starts[: n - width + 1].tolist(), ends.tolist(), strict=True)
     return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n - width + 1)
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """An Arrow batch without the columns `drop` and with further ones behind."""
+    kept = [n for n in batch.schema.names if n not in drop]
+    arrays = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+    return pa.RecordBatch.from_arrays([*arrays, *columns.values()], [*kept, *columns])
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[str | None]:
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
