@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, durable, secrets, sharding, simhash
+from . import bpe, decontaminate, durable, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,23 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumnRenamed("key", "doc_id")
 
 
+def tokenizer_path(name: str) -> str:
+    """The file of an installed public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document under word_bpe_49k, as digests."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_decode(documents, tokenizer_path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, found through a new ledger in the shared folder."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_rendezvous_shards": op6_rendezvous_shards,
+    "op7_chunk_bpe": op7_chunk_bpe,
     "op8_secret_ledger": op8_secret_ledger,
 }
 
