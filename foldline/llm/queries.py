@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, durable, secrets, sharding, simhash
+from . import bpe, decontaminate, durable, langid, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = langid.held_out(F.col("doc_id"))
+    model = langid.fit(documents.where(~apart))
+    found = langid.identify(documents.select("doc_id", "text"), model, keep_text=False)
+    return found.select(
+        "doc_id", apart.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
+
+
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, and the items they come from."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +92,7 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op3_zstd_language": op3_zstd_language,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_chunk_bpe": op7_chunk_bpe,
