@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, durable, htmltext, langid, secrets, sharding, simhash
+from . import bpe, chat, decontaminate, durable, egojoin, htmltext, langid, rollup, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,26 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after three batches: all inserted under two tokenizer versions, those labelled
+    toxic deleted, and those with a rights line recounted without it. The second batch is sent twice."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+
+    def changes(op: str, rows: DataFrame, text: Column) -> DataFrame:
+        counts = F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), rollup.count_tokens(text, v).alias("n_tokens")) for v in rollup.VERSIONS])
+        return rows.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.explode(counts).alias("c")).select("op", "doc_id", "source", "lang", "c.*")
+
+    totals = rollup.TokenRollup(spark, f"{durable.shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    totals.commit("load", changes("insert", documents, F.col("text")))
+    deleted = documents.join(toxic, "doc_id", "left_semi").withColumn("text", F.lit(""))
+    for _ in range(2):
+        totals.commit("takedown", changes("delete", deleted, F.col("text")))
+    marked = documents.where(F.contains("text", F.lit("All rights reserved."))).join(toxic, "doc_id", "left_anti")
+    totals.commit("recount", changes("revise", marked, F.replace("text", F.lit("All rights reserved."), F.lit(""))))
+    return totals.totals()
+
+
 def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -101,6 +121,11 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ego_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"), limit=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op10_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -109,14 +134,28 @@ def op10_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_token_rollup": op2_token_rollup,
     "op3_zstd_language": op3_zstd_language,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op5_budgeted_chat": op5_budgeted_chat,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_chunk_bpe": op7_chunk_bpe,
     "op8_secret_ledger": op8_secret_ledger,
+    "op9_ego_neardup": op9_ego_neardup,
     "op10_flat_blocks": op10_flat_blocks,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_token_rollup": r"""
+        WITH kept AS (
+            SELECT source, lang, replace(coalesce(text, ''), 'All rights reserved.', '') AS text FROM documents
+            WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        ), counted AS (
+            SELECT source, lang, 'space-1' AS tokenizer_version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM kept
+            UNION ALL
+            SELECT source, lang, 'alnum-2', len(regexp_extract_all(text, '[A-Za-z0-9]+')) FROM kept
+        )
+        SELECT source, lang, tokenizer_version, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens
+        FROM counted GROUP BY ALL""",
+}
