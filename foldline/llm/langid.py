@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ MOST_LANGUAGES = 200
 #: Characters of a block. A dictionary helps from the first byte on, so blocks are short.
 BLOCK = 1024
 LEVEL = 6
-#: Texts of up to so many characters whose margin is under CLOSE are measured word by word too: whole
-#: bytes are too coarse for them.
-SHORT, CLOSE = 600, 0.1
+#: Texts of up to so many characters are measured at these levels too, and the sizes summed: at one level
+#: alone, whole bytes are too coarse for them.
+SHORT, FURTHER_LEVELS = 600, (3, 9)
 #: Least margin, as a part of the second-best size, for a prediction to be accepted.
 MARGIN = 0.005
 
@@ -97,20 +98,20 @@ def prepared(text: str) -> str:
     return clean if any(map(str.isalpha, clean)) else ""
 
 
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=data, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
 class Classifier:
     def __init__(self, model: Model):
-        import zstandard
-
         self.languages = model.languages
-        self.compressors = []
-        for content in model.contents:
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.compressors = {level: [_compressor(c, level) for c in model.contents] for level in (LEVEL, *FURTHER_LEVELS)}
 
-    def _sizes(self, blocks: list[str]) -> np.ndarray:
+    def _sizes(self, blocks: list[str], level: int = LEVEL) -> np.ndarray:
         data = [f" {b} ".encode("utf-8", "surrogatepass") for b in blocks]
-        return np.array([sum([len(c.compress(b)) for b in data]) for c in self.compressors])
+        return np.array([sum([len(c.compress(b)) for b in data]) for c in self.compressors[level]])
 
     def sizes(self, text: str) -> np.ndarray | None:
         """Compressed bytes of the whole text with each dictionary; None without letters."""
@@ -118,18 +119,14 @@ class Classifier:
         if not clean:
             return None
         found = self._sizes([clean[i : i + BLOCK] for i in range(0, len(clean), BLOCK)])
-        if len(clean) <= SHORT and len(found) > 1:
-            best, second = np.partition(found, 1)[:2]
-            if second - best < CLOSE * second:
-                found = found + self._sizes(clean.split())
-        return found
+        return found + sum(self._sizes([clean], level) for level in FURTHER_LEVELS) if len(clean) <= SHORT else found
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is what the best dictionary saves of the size with the second best, 0 to 1.
 
         Ties go to the language with more labelled rows, then the first by name.
         """
-        sizes = self.sizes(text) if text and self.compressors else None
+        sizes = self.sizes(text) if text and self.languages else None
         if sizes is None:
             return UNKNOWN, 0.0
         best = int(sizes.argmin())
