@@ -1,0 +1 @@
+"""Relational and statistical operators on DataFrames."""
