@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Objectives and the order of candidates under each. Rows have macro_f1, brier, log_loss, mae_bp, lambda, scaling.
-ROW_ONLY = F.lit("row_only")
+ROW_ONLY = "row_only"
 
 
 def objectives() -> dict[str, list[Column]]:

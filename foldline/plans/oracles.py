@@ -322,8 +322,8 @@ ORACLES: dict[str, str] = {
           round((1.0 + count(*) FILTER (c >= b.top)) / (count(*) + 1.0::DOUBLE), 9) AS p_value
         FROM best b JOIN named ON named.series = b.series JOIN reps ON reps.series = b.series GROUP BY b.series, b.n, b.arms, b.top, best_arm""",
     "candidate_selection": f"WITH {_INNER} SELECT * FROM chosen",
-    "selection_stability": f"""WITH {_INNER} SELECT arm, objective, "lambda", scaling, count(*) AS selections,
-        round(count(*) / (sum(count(*)) OVER (PARTITION BY arm, objective))::DOUBLE, 9) AS share FROM chosen GROUP BY ALL""",
+    "selection_stability": f"""WITH {_INNER} SELECT arm, objective, "lambda", scaling, selections, round(selections / (sum(selections) OVER (PARTITION BY arm, objective))::DOUBLE, 9) AS share
+        FROM (SELECT arm, objective, "lambda", scaling, count(*) AS selections FROM chosen GROUP BY 1, 2, 3, 4)""",
     "unselected_groups": f"WITH {_INNER} SELECT fold, arm, max(inner_n) AS most FROM inner_scores GROUP BY ALL HAVING max(inner_n) < 60",
     "opaque_ids": f"""WITH {_ORIGINS} SELECT origin_id, 'T-' || substr(sha256('salt|' || origin_id), 1, 12) AS item_id, 'B-' || substr(sha256('20260923:' || origin_id), 1, 12) AS blind_id FROM origins""",
     "duplicate_keys": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",

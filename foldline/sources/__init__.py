@@ -1,0 +1 @@
+"""Readers and writers of the formats the library exchanges."""

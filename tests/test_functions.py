@@ -1,0 +1,180 @@
+"""Unit vectors of column functions, metrics and inference."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foldline.functions import classes, scalars
+from foldline.operators import inference, metrics, models, selection, text, validate
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_turkish_words(spark):
+    assert one(spark, scalars.words(F.lit("İç talep ve ENFLASYON güçlü."))) == ["iç", "talep", "ve", "enflasyon", "güçlü"]
+    assert one(spark, scalars.words(F.lit(None).cast("string"))) is None
+    assert one(spark, scalars.words(F.lit(""))) == []
+
+
+def test_choice_of_class_breaks_ties(spark):
+    pick = lambda *p: one(spark, classes.choose_class(*map(F.lit, p)))
+    assert pick(0.2, 0.2, 0.2) == "hold" and pick(0.4, 0.2, 0.4) == "cut" and pick(0.1, 0.2, 0.7) == "hike"
+
+
+def predictions(spark, pairs):
+    rows = [(k, "a", t, p, 0.2, 0.5, 0.3, 0.0, 0.0) for k, (t, p) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "i long, arm string, true_class string, predicted_class string, p_cut double, p_hold double, p_hike double, true_bp double, predicted_bp double")
+
+
+def test_macro_f1_of_a_majority_guess_and_of_absent_classes(spark):
+    guess = predictions(spark, [("cut", "hold")] * 9 + [("hold", "hold")] * 18 + [("hike", "hold")] * 10)
+    assert metrics.arm_metrics(guess).first()["macro_f1"] == pytest.approx(0.21818181818181817)
+    two = predictions(spark, [("hold", "hold"), ("hike", "hike")])
+    assert metrics.arm_metrics(two).first()["macro_f1"] == pytest.approx(2 / 3)
+    assert metrics.arm_metrics(two.limit(0)).count() == 0
+
+
+def test_kappa_vectors(spark):
+    def kappa(a, b):
+        rows = spark.createDataFrame([(0, x, y) for x, y in zip(a, b, strict=True)], "g int, a int, b int")
+        r = metrics.kappa(rows, ("g",), "a", "b").first()
+        return r["agreement"], r["cohen_kappa"], r["linear_weighted_kappa"]
+
+    assert kappa([-1, 0, 1], [-1, 0, 1]) == (1, 1, 1)
+    assert kappa([-1, 0, 1], [1, 0, -1]) == (pytest.approx(1 / 3), 0, -0.5)
+    assert kappa([0, 0], [0, 0]) == (1, None, None)
+    assert kappa([None, 0], [0, None]) == (None, None, None)
+
+
+def test_masked_scores_of_missing_labels_and_seed_average(spark):
+    rows = [("g", s, a, 0, s) for s in (0, 1) for a in ("x", "y") for _ in range(3)]
+    r = metrics.masked_scores(spark.createDataFrame(rows, "g string, seed int, axis string, truth int, predicted int"), ("g",)).first()
+    assert r["macro_f1"] == pytest.approx(1 / 6) and r["accuracy"] == 0.5 and r["runs"] == 2
+
+
+def test_mcnemar_and_holm(spark):
+    known = {(5, 3): 0.7266, (8, 4): 0.3877, (0, 4): 0.125, (1, 5): 0.21875, (3, 0): 0.25, (3, 1): 0.625, (0, 0): 1.0, (2, 2): 1.0}
+    rows = spark.createDataFrame([(b, c) for b, c in known], "b long, c long").withColumn("p", scalars.mcnemar_exact(F.col("b"), F.col("c")))
+    for r in rows.collect():
+        assert r["p"] == pytest.approx(known[r["b"], r["c"]], abs=5e-5)
+    assert one(spark, scalars.mcnemar_exact(F.lit(4000), F.lit(4100))) == pytest.approx(0.2711, abs=2e-3)
+    ps = [0.01, 0.04, 0.03, 0.04]
+    made = inference.holm(spark.createDataFrame([(p,) for p in ps], "p_value double")).orderBy("p_value").collect()
+    assert [r["holm_p"] for r in made] == pytest.approx([0.04, 0.09, 0.09, 0.09])
+
+
+def test_leave_one_out_equals_recomputation(spark):
+    pairs = [("cut", "cut"), ("cut", "hold"), ("hold", "hold"), ("hike", "cut"), ("hike", "hike"), ("hold", "hike")]
+    df = predictions(spark, pairs)
+    for r in metrics.leave_one_out(df).collect():
+        rest = metrics.arm_metrics(df.where(F.col("i") != r["i"])).first()
+        assert r["macro_f1_without"] == pytest.approx(rest["macro_f1"])
+
+
+def test_identity_draws_give_the_point_estimate(spark):
+    df = predictions(spark, [("cut", "cut"), ("cut", "hold"), ("hold", "hold"), ("hike", "cut")]).withColumn("idx", F.col("i"))
+    draws = spark.range(4).select(F.lit(0).alias("rep"), F.col("id").alias("idx"), F.lit(1).cast("long").alias("times"))
+    made, told = inference.resampled_metrics(df, draws, ()).first(), metrics.arm_metrics(df).first()
+    assert made["macro_f1"] == pytest.approx(told["macro_f1"]) and made["brier"] == pytest.approx(told["brier"])
+
+
+def test_random_draws_are_whole_and_the_same_each_time(spark):
+    a = inference.random_draws(spark, 37, 20, 4, 7)
+    assert {r["n"] for r in a.groupBy("rep").agg(F.sum("times").alias("n")).collect()} == {37}
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, inference.random_draws(spark, 37, 20, 4, 7).collect()))
+
+
+def test_softmax_fit_has_no_gradient_and_wide_equals_narrow():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(40, 5)), rng.integers(0, 3, 40)
+    w, b = models.fit_softmax(x, y, 0.1)
+    p = models.softmax_probabilities(x, w, b)
+    assert np.abs(x.T @ (p - np.eye(3)[y]) / 40 + 0.1 * w).max() < 1e-8
+    wide = rng.normal(size=(30, 80))
+    turn = np.linalg.qr(rng.normal(size=(80, 80)))[0]
+    a = models.softmax_probabilities(wide, *models.fit_softmax(wide, y[:30], 0.1))
+    c = models.softmax_probabilities(wide @ turn, *models.fit_softmax(wide @ turn, y[:30], 0.1))
+    assert np.abs(a - c).max() < 1e-8
+
+
+def test_ridge_equals_its_primal_form():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(30, 6)), rng.normal(size=30)
+    w, b = models.fit_ridge(x, y, 0.5)
+    c = x - x.mean(0)
+    primal = np.linalg.solve(c.T @ c + 30 * 0.5 * np.eye(6), c.T @ (y - y.mean()))
+    assert np.allclose(w, primal) and b == pytest.approx(y.mean() - x.mean(0) @ primal)
+
+
+def test_lsa_signs_are_fixed():
+    rng = np.random.default_rng(2)
+    x = rng.random((12, 20))
+    a, q = models.lsa(x, x[:2], 4)
+    assert np.allclose(a[:2], q) and np.allclose(np.linalg.norm(a, axis=1), 1)
+
+
+def test_chunks_and_padding(spark):
+    ids = F.array(*map(F.lit, [11, 12]))
+    made = one(spark, text.padded(text.prepared(ids, 101, 102), F.lit(5), 0))
+    assert made["input_ids"] == [101, 11, 12, 102, 0] and made["attention_mask"] == [1, 1, 1, 1, 0] and made["token_type_ids"] == [0] * 5
+    assert one(spark, text.chunks(F.sequence(F.lit(1), F.lit(7)), 4, 1)) == [[1, 2, 3, 4], [4, 5, 6, 7], [7]]
+    with pytest.raises(ValueError):
+        text.chunks(ids, 4, 4)
+
+
+def test_hash_embeddings_have_length_one_or_none(spark):
+    docs = spark.createDataFrame([(1, "kelime bir iki"), (2, ""), (3, None)], "doc_id long, text string")
+    made = {r["doc_id"]: r["embedding"] for r in text.hash_embeddings(docs).collect()}
+    assert math.isclose(sum(x * x for x in made[1]), 1) and made[2] == made[3] == [0.0] * 64
+
+
+def test_first_object_is_strict():
+    ok = validate.first_object
+    assert ok('{"a": 1, "b": 0}', "ab") == ({"a": 1, "b": 0}, True)
+    assert ok(' \n{"a": 1, "b": 0}\t', "ab")[1] is True
+    assert ok('```json\n{"a": 1, "b": 0}\n```', "ab")[1] is False
+    for bad in (None, "", "none", '{"a": 1, "a": 1, "b": 0}', '{"a": true, "b": 0}', '{"a": 0.0, "b": 0}', '{"a": "0", "b": 0}', '{"a": null, "b": 0}', '{"a": 2, "b": 0}', '{"a": 1}', '{} {"a": 1, "b": 0}'):
+        assert ok(bad, "ab") is None
+
+
+def test_answer_status(spark):
+    good = '{"x": {"score": 1, "evidence": "rates"}, "y": {"score": 0, "evidence": ""}}'
+    bad = [
+        good.replace("1,", "1.0,"), good.replace("1,", "true,"), good.replace("1,", '"1",'), good.replace("1,", "2,"), good.replace('"rates"', '" "'),
+        good.replace('"rates"', '"other"'), good.replace('"rates"', "3"), good[:-1] + ', "z": 1}', "[]", "", good.replace('"evidence": ""', '"evidence": "", "more": 1'),
+    ]
+    rows = [(good, True), (good, False), (None, True)] + [(b, True) for b in bad]
+    df = spark.createDataFrame(rows, "raw string, ended boolean").select(validate.answer_status(F.col("raw"), F.lit("the rates rise"), F.col("ended"), ("x", "y")).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["valid"] + ["invalid_output"] * (len(rows) - 1)
+
+
+def test_envelopes(spark):
+    import hashlib
+    import json
+
+    data = {"b": 1, "a": ["ç"]}
+    sha = hashlib.sha256(validate.canonical(data).encode()).hexdigest()
+    rows = [(json.dumps({"data": data, "sha": sha}),), (json.dumps({"data": {}, "sha": sha}),), ("{",), (None,)]
+    made = validate.envelope_errors(spark.createDataFrame(rows, "raw string")).collect()
+    assert [r["error"] for r in made] == [None, "sha differs", "not an envelope", "not an envelope"]
+
+
+def test_probability_violations_and_mismatches(spark):
+    df = spark.createDataFrame([(1, 0.2, 0.8), (2, 0.0, 2.0), (3, None, 1.0), (4, 0.5, 0.4)], "k int, p double, q double")
+    assert {r["k"] for r in validate.probability_violations(df, ["p", "q"]).collect()} == {2, 3, 4}
+    other = df.withColumn("p", F.col("p") + F.lit(1e-12))
+    assert validate.mismatches(df, other, ["k"], ["p"]).count() == 0
+
+
+def test_selection_prefers_the_stronger_penalty(spark):
+    rows = [(1, "a", 0.1, "row_only", 30, 0.5, 0.2, 0.3, 10.0), (1, "a", 1.0, "column_standardized", 30, 0.5, 0.2, 0.3, 10.0), (1, "a", 1.0, "row_only", 30, 0.5, 0.2, 0.3, 10.0), (1, "a", 9.0, "row_only", 5, 0.9, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "fold int, arm string, lambda double, scaling string, inner_n int, macro_f1 double, brier double, log_loss double, mae_bp double")
+    won = {r["objective"]: (r["lambda"], r["scaling"]) for r in selection.select_candidates(df, 20).collect()}
+    assert won == dict.fromkeys(("direction", "magnitude", "probability"), (1.0, "row_only"))
+    assert selection.unselected(df, 40).count() == 1
