@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import texts_of, with_columns
+from .textkit import text_batches, texts_of, with_columns
 
 #: A piece: white space and what follows it, up to the next white space.
 PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
@@ -212,5 +212,5 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ke
 
     fields = [f"{n} {t}" for n, (_, t) in zip(names, df.dtypes, strict=True) if n not in gone]
     schema = ", ".join([*fields, "n_tokens long", "ids array<int>", "decoded string"])
-    out = df.toDF(*names).mapInArrow(run, schema)
+    out = text_batches(df).toDF(*names).mapInArrow(run, schema)
     return out.toDF(*[c for n, c in zip(names, df.columns, strict=True) if n not in gone], *added)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import text_batches
+
 #: What marks turns here or in other common templates. Fixed values.
 CONTROL = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _FIRST = "|".join(rf"{re.escape(c[0])}(?=\\*{re.escape(c[1:])})" for c in CONTROL)
@@ -143,7 +145,7 @@ def format_windows(df: DataFrame, ranks_path: str, pattern: str, budget: int = B
     """
     with open(ranks_path, "rb") as file:
         shared = df.sparkSession.sparkContext.broadcast((file.read(), pattern))
-    rows = df.select(
+    rows = text_batches(df).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import lower_ascii, texts_of, with_columns
+from .textkit import lower_ascii, text_batches, texts_of, with_columns
 
 #: Words: runs of digits, letters and anything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -209,7 +209,7 @@ def hits(
     # Plain names inside, whatever the columns are called.
     names = [f"c{i}" for i in range(len(df.columns))]
     body = names[df.columns.index(text_col)]
-    out = df.toDF(*names)
+    out = text_batches(df).toDF(*names)
     fields = {n: t for n, (_, t) in zip(names, df.dtypes, strict=True)}
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     block, first = next(blocks), True

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import texts_of, with_columns
+from .textkit import text_batches, texts_of, with_columns
 
 # Elements and attribute words with a meaning here.
 #: Elements whose content is never text of the page.
@@ -191,6 +191,8 @@ LABELLED = (
     (20, 0.9, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (5, 0.8, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
     (40, 0.7, 60, 0.0, 10, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (8, 0.6, 3, 0.0, 30, 0.0, 0, 0, 0, 0),
     (50, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0), (30, 0.0, 0, 0.0, 45, 0.0, 1, 0, 0, 0), (9, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 45, 0.0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0),
+    (3, 0.8, 40, 0.0, 90, 0.0, 0, 0, 0, 0), (6, 1.0, 30, 0.0, 35, 0.1, 0, 0, 0, 0), (25, 0.9, 50, 0.0, 60, 0.0, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (80, 0.0, 30, 0.0, 9, 0.0, 1, 0, 0, 0),
 )
 
@@ -270,7 +272,7 @@ def extract(df: DataFrame, html_col: str = "html", column: str = "text") -> Data
             made = pa.array([main_text(page, tree) for page in texts_of(batch, body)], pa.string())
             yield with_columns(batch, {"made": made}, (body,))
 
-    rows = df.toDF(*names).withColumn(body, F.col(body).cast("string"))
+    rows = text_batches(df).toDF(*names).withColumn(body, F.col(body).cast("string"))
     fields = [f"{n} {t}" for n, t in rows.dtypes if n != body]
     out = rows.mapInArrow(run, ", ".join([*fields, "made string"]))
     return out.toDF(*[c for n, c in zip(names, df.columns, strict=True) if n != body], column)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import texts_of, with_columns
+from .textkit import text_batches, texts_of, with_columns
 
 UNKNOWN = "und"
 #: Labelled rows of each language that fitting reads, and bytes of its dictionary.
@@ -162,5 +162,5 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep_text: boo
 
     fields = [f"{n} {t}" for n, (_, t) in zip(names, df.dtypes, strict=True) if n not in gone]
     schema = ", ".join([*fields, "lang_pred string", "lang_score double", "lang_rejected boolean"])
-    out = df.toDF(*names).mapInArrow(run, schema)
+    out = text_batches(df).toDF(*names).mapInArrow(run, schema)
     return out.toDF(*[c for n, c in zip(names, df.columns, strict=True) if n not in gone], *added)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, merge_labels
 from .durable import durable
-from .textkit import lower_ascii, shingle_hashes, texts_of, with_columns
+from .textkit import lower_ascii, shingle_hashes, text_batches, texts_of, with_columns
 
 #: Shingles whose bits are counted at once.
 BIT_BATCH = 1 << 15
@@ -84,7 +84,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield with_columns(batch, {n: pa.array(signed[w]) for w, n in enumerate(names)}, ("text",))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
+    return text_batches(rows).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def hamming_limit(similarity: float, bits: int) -> int:

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Words of the near-duplicate operators: anything but ASCII white space.
 SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -48,3 +49,16 @@ def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array], drop: tupl
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+#: Rows of an Arrow batch of texts. Batches are whole in memory on both sides, and their longest texts may be very long.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session sends no more than TEXT_ROWS rows at once to Python from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
