@@ -146,6 +146,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
+#: The base rules once more, as DuckDB reads them.
+_RULES_SQL = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", 6, 0),
+    ("access", r"()(AKIA[A-Z0-9]+)", 20, 1),
+    ("hex", r"()([0-9a-f]+)", 24, 2),
+)
+
+
+def _spans_sql() -> str:
+    parts = []
+    for kind, pattern, least, rank in _RULES_SQL:
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos, piece, {least} AS least FROM (
+              SELECT doc_id, unnest(string_split(regexp_replace(body, '{quoted}', chr(57344) || '\\1' || chr(57345) || '\\2' || chr(57344), 'g'), chr(57344))) AS piece,
+                     generate_subscripts(string_split(regexp_replace(body, '{quoted}', chr(57344) || '\\1' || chr(57345) || '\\2' || chr(57344), 'g'), chr(57344)), 1) AS pos
+              FROM bodies)"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "op2_token_rollup": r"""
         WITH kept AS (
@@ -158,4 +179,76 @@ ORACLES: dict[str, str] = {
         )
         SELECT source, lang, tokenizer_version, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens
         FROM counted GROUP BY ALL""",
+    "op4_suffix_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(8, len(w)) AS n, array_to_string(w[k : k + least(8, len(w)) - 1], ' ') AS gram
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 6))) AS k FROM b WHERE len(w) > 0)
+        ),
+        spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 0),
+        grams AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS gram FROM spots, (SELECT DISTINCT n FROM windows) WHERE k + n - 1 <= len(w)),
+        found AS (SELECT doc_id, k, n, item_id FROM grams JOIN windows USING (n, gram)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id),
+        longest AS (
+            SELECT doc_id, max(len) AS longest FROM (
+                SELECT doc_id, item_id, count(*) - 1 + any_value(n) AS len FROM (
+                    SELECT doc_id, item_id, n, k, j, k - row_number() OVER (PARTITION BY doc_id, item_id, k - j ORDER BY k) AS run
+                    FROM found JOIN (SELECT item_id, j, array_to_string(w[j : j + least(8, len(w)) - 1], ' ') AS gram, least(8, len(w)) AS n
+                                     FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 6))) AS j FROM b WHERE len(w) > 0)) own USING (item_id, n)
+                    JOIN grams USING (doc_id, k, n, gram))
+                GROUP BY doc_id, item_id, k - j, run)
+            GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_items, 0) >= 2 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
+    "op6_rendezvous_shards": """
+        WITH bits AS (
+            SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+        bytes AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), sums AS (
+            SELECT doc_id, n + 1 AS size,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::BIGINT)),
+                                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+            FROM bytes, crc
+        ), scores AS (
+            SELECT doc_id, s, -1.0::DOUBLE / ln((('0x' || md5(doc_id || '#' || s)[1:13])::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS score
+            FROM (SELECT coalesce(doc_id::VARCHAR, 'null') AS doc_id FROM documents), range(9) r(s)
+        ), best AS (
+            SELECT doc_id, arg_max(s, score) FILTER (s < 8) AS shard, arg_max(s, score) AS grown_shard FROM scores GROUP BY doc_id
+        )
+        SELECT sums.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY md5(sums.doc_id::VARCHAR), sums.doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
+        FROM sums JOIN best ON best.doc_id = sums.doc_id::VARCHAR""",
+    "op8_secret_ledger": f"""
+        WITH bodies AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(57346) || chr(57346)) AS body FROM documents),
+        pieces AS ({_spans_sql()}),
+        placed AS (
+            SELECT doc_id, kind, rank, least, pos, piece, CAST(sum(length(piece) - (pos % 2 = 0)::INT) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS BIGINT) AS stop FROM pieces
+        ),
+        spans AS (
+            SELECT doc_id, kind, rank, stop - length(piece) + 1 AS start, stop FROM placed
+            WHERE pos % 2 = 0 AND length(string_split(piece, chr(57345))[2]) >= least
+        ),
+        listed AS (
+            SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+                   count(*) FILTER (kind = 'hex') AS h FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN listed USING (doc_id)""",
+    "op9_ego_neardup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+        ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+        FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a = vec_id""",
 }
