@@ -61,3 +61,12 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
 
     tail = F.aggregate(F.sequence(F.lit(0), low), start, step)["sum"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def label_code(text: Column, uncertain: str = "U") -> Column:
+    """-1, 0 or 1 from text; the uncertain mark and blanks are null, anything else is an error."""
+    clean = F.trim(text)
+    code = clean.try_cast("int")
+    fine = code.isin(-1, 0, 1)
+    missing = clean.isNull() | clean.isin("", uncertain)
+    return F.when(missing, F.lit(None).cast("int")).when(F.coalesce(fine, F.lit(False)), code).otherwise(F.raise_error(F.concat(F.lit("not a label: "), clean)).cast("int"))

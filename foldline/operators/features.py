@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("series", "fold")
@@ -74,3 +74,18 @@ def designs(rows: DataFrame, arms: dict[str, Sequence[str]]) -> DataFrame:
     joined = rows.join(F.broadcast(table), "column")
     cells = F.array_sort(F.collect_list(F.struct("position", "value")))
     return joined.groupBy(*KEYS, "j", "is_query", "arm").agg(F.transform(cells, lambda c: c["value"]).alias("features"))
+
+
+def row_normalised(vector: str) -> Column:
+    """A feature array scaled to length 1; zeros stay."""
+    norm = F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-15))
+    return F.transform(vector, lambda x: x / norm)
+
+
+def scalings(rows: DataFrame) -> DataFrame:
+    """Design rows twice, as scaling row_only (each row to length 1) and column_standardized (as they come)."""
+    both = F.array(
+        F.struct(F.lit("row_only").alias("scaling"), row_normalised("features").alias("scaled")),
+        F.struct(F.lit("column_standardized").alias("scaling"), F.col("features").alias("scaled")),
+    )
+    return rows.select("*", F.inline(both)).drop("features").withColumnRenamed("scaled", "features")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldline.functions.scalars import mcnemar_exact
+from foldline.functions.scalars import mcnemar_exact, ratio
 from foldline.operators import metrics
 
 PAIR_COLUMNS = ("true_class", "true_bp")
@@ -133,3 +134,37 @@ def reality_check(positioned: DataFrame, draws: DataFrame, benchmark: str, keys:
         *keys, "n", "arms", "best_arm", (F.col("top") / n).alias("best_advantage"), (F.sqrt(n.cast("double")) * F.col("top") / n).alias("statistic"),
         ((1.0 + F.col("over")) / (F.col("reps") + 1.0)).alias("p_value"),
     )
+
+
+def masked_resampled(rows: DataFrame, draws: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(rep, by, macro_f1): `metrics.masked_scores` of every replicate; `rows` have idx, seed, axis, truth and predicted beside `by`.
+
+    Counts are weighted by how often a replicate drew the row; scores are averaged over seeds and axes.
+    """
+    t, p, times = F.col("truth"), F.col("predicted"), F.col("times")
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(c, times).otherwise(0))
+
+    valid = rows.where(t.isNotNull()).join(draws, "idx")
+    cells = [x.alias(f"{k}{v + 1}") for v in (-1, 0, 1) for k, x in (("h", total((t == v) & (p == v))), ("t", total(t == v)), ("a", total(p == v)))]
+    per = valid.groupBy("rep", *by, "seed", "axis").agg(*cells)
+    parts = [ratio(2.0 * F.col(f"h{v}"), F.col(f"t{v}") + F.col(f"a{v}"), 0.0) for v in range(3)]
+    return per.groupBy("rep", *by).agg(F.avg((parts[0] + parts[1] + parts[2]) / 3.0).alias("macro_f1"))
+
+
+def named_contrasts(resampled: DataFrame, name: str, pairs: dict[str, tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, contrast, low, high): 95 % intervals of one group's macro_f1 less another's, for named pairs (first, less)."""
+    wanted = F.array(*[F.struct(F.lit(n).alias("contrast"), F.lit(a).alias("first"), F.lit(b).alias("less")) for n, (a, b) in pairs.items()])
+    sign = F.when(F.col(name) == F.col("first"), 1.0).when(F.col(name) == F.col("less"), -1.0)
+    rows = resampled.select("*", F.inline(wanted)).where(sign.isNotNull())
+    diffs = rows.groupBy("rep", *by, "contrast").agg(F.sum(sign * F.col("macro_f1")).alias("d"), F.count("*").alias("k")).where("k = 2")
+    q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
+    return diffs.groupBy(*by, "contrast").agg(q.alias("q")).select(*by, "contrast", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def seeded_order(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(position, item): the order in which Python's generator shuffles 0 .. n-1, as a table to join with. For lists that people read."""
+    items = list(range(n))
+    random.Random(seed).shuffle(items)
+    return spark.createDataFrame(list(enumerate(items)), "position long, item long")

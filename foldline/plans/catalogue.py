@@ -532,6 +532,43 @@ def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
     return selection.assemble(chosen.select("fold", "arm", "objective", "lambda", "scaling"), grid.drop("series", "n_train"))
 
 
+@query
+def sensitivity_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of three arms under two scalings and five penalties."""
+    data, at, pairs = scored_data(spark, sf)
+    arms = {a: ARMS[a] for a in ("all", "first", "scores")}
+    rows = features.scalings(features.designs(features.imputed(pairs, at, data, AXES), arms))
+    told = data.select("series", F.col("i").alias("j"), "direction", "action_bp")
+    made = models.fit_predict(rows.join(told, ["series", "j"]), LAMBDAS, ("series", "fold", "arm", "scaling"))
+    truth = data.select("series", "i", F.col("direction").alias("true_class"), F.col("action_bp").alias("true_bp"))
+    scored = made.join(at.select("series", "fold", "i"), ["series", "fold"]).join(truth, ["series", "i"])
+    return metrics.arm_metrics(scored, ("arm", "scaling", "lambda"))
+
+
+@query
+def masked_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of tuned less base runs (seeds 1 and 2 less seed 0) on the first 80 documents, resampled in blocks of 3."""
+    rows = seeded_runs(spark, sf).where("split = 'train'").withColumn("idx", F.col("doc_id"))
+    rows = rows.withColumn("family", F.when(F.col("seed") == 0, "base").otherwise("tuned"))
+    draws = inference.arithmetic_draws(spark.range(1).select(F.lit("all").alias("series"), F.lit(80).cast("long").alias("n")), 200, 3).drop("series")
+    scores = inference.masked_resampled(rows, draws, ("family",))
+    return rounded(inference.named_contrasts(scores, "family", {"tuned_effect": ("tuned", "base")}), "low", "high")
+
+
+@query
+def label_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as text, U for uncertain, read back."""
+    text_label = F.when(F.col("doc_id") % 6 == 0, "U").when(F.col("doc_id") % 6 == 1, " ").otherwise((F.col("quality") * 2 - 1).cast("string"))
+    return tables.read(spark, sf, "labels").select("doc_id", scalars.label_code(text_label).alias("code"))
+
+
+@query
+def numeric_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances as text, some blank or broken, read as numbers."""
+    raw = F.when(F.col("c_custkey") % 5 == 0, " ").when(F.col("c_custkey") % 5 == 1, "n/a").otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(".5 ")))
+    return tables.read(spark, sf, "customer").select("c_custkey", scalars.number(raw).alias("x"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arm_metrics(spark, sf_dir)
 

@@ -348,4 +348,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'series', series, count(*), count(*) FILTER (true_class = predicted_class) FROM predictions GROUP BY series""",
     "one_hot_rows": f"""WITH {_ORIGINS} SELECT series, i, CASE direction WHEN 'cut' THEN 0 WHEN 'hold' THEN 1 ELSE 2 END AS class_index, (direction = 'cut')::INT AS is_cut, (direction = 'hold')::INT AS is_hold,
         (direction = 'hike')::INT AS is_hike, action_bp / 100.0::DOUBLE AS points FROM data""",
+    "masked_bootstrap": f"""WITH {_RUNS}, draws AS (SELECT rep, ((rep * 7919 + (pos // 3) * 104729) % 80 + pos % 3) % 80 AS doc_id, count(*) AS times FROM range(200) r(rep), range(80) p(pos) GROUP BY ALL),
+        drawn AS (SELECT rep, seed, axis, truth, predicted, times FROM seeded JOIN draws USING (doc_id) WHERE split = 'train' AND truth IS NOT NULL),
+        per AS (SELECT rep, seed, axis, ({" + ".join(f"coalesce(2.0::DOUBLE * coalesce(sum(times) FILTER (truth = {v} AND predicted = {v}), 0)::DOUBLE / nullif(coalesce(sum(times) FILTER (truth = {v}), 0)::DOUBLE + coalesce(sum(times) FILTER (predicted = {v}), 0)::DOUBLE, 0), 0)" for v in (-1, 0, 1))}) / 3.0::DOUBLE AS f FROM drawn GROUP BY ALL),
+        family AS (SELECT rep, avg(f) FILTER (seed > 0) - avg(f) FILTER (seed = 0) AS d FROM per GROUP BY rep)
+        SELECT 'tuned_effect' AS contrast, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM family""",
+    "label_codes": "SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN NULL ELSE quality * 2 - 1 END AS code FROM labels",
+    "numeric_text": "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey + 0.5::DOUBLE END AS x FROM customer",
 }

@@ -83,6 +83,14 @@ def staged(files: DataFrame) -> DataFrame:
     return files.groupBy("sha256").agg(F.min_by("path", F.struct(depth, F.col("path"))).alias("path"))
 
 
+def discover_runs(spark: SparkSession, root: str, required: list[str]) -> DataFrame:
+    """(run, files, missing): folders under `root` that hold any file, how many, and which required names they lack."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    parts = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("run"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    runs = parts.groupBy("run").agg(F.count("*").alias("files"), F.collect_set(F.when(F.col("name").isin(required), F.col("name"))).alias("held"))
+    return runs.select("run", "files", F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.col("held"))).alias("missing"))
+
+
 def read_config(path: str) -> dict:
     """A small JSON configuration, on the driver."""
     with open(path, encoding="utf-8") as file:

@@ -178,3 +178,14 @@ def test_selection_prefers_the_stronger_penalty(spark):
     won = {r["objective"]: (r["lambda"], r["scaling"]) for r in selection.select_candidates(df, 20).collect()}
     assert won == dict.fromkeys(("direction", "magnitude", "probability"), (1.0, "row_only"))
     assert selection.unselected(df, 40).count() == 1
+
+
+def test_label_codes_reject_other_text(spark):
+    df = spark.createDataFrame([("1",), (" -1 ",), ("U",), ("",), (None,)], "t string")
+    assert [r["c"] for r in df.select(scalars.label_code(F.col("t")).alias("c")).collect()] == [1, -1, None, None, None]
+    with pytest.raises(Exception, match="not a label"):
+        one(spark, scalars.label_code(F.lit("2")))
+
+
+def test_seeded_order_is_a_permutation(spark):
+    assert sorted(r["item"] for r in inference.seeded_order(spark, 9, 3).collect()) == list(range(9))

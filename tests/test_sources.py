@@ -69,3 +69,11 @@ def test_streamed_rates_equal_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, availability.bucket_rates(events).collect()))
+
+
+def test_runs_report_what_they_lack(spark, tmp_path):
+    for name in ("a/manifest.json", "a/x.json", "b/c/x.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    made = {r["run"].rsplit("/", 1)[1]: (r["files"], r["missing"]) for r in readers.discover_runs(spark, str(tmp_path), ["manifest.json", "x.json"]).collect()}
+    assert made == {"a": (2, []), "c": (1, ["manifest.json"])}
