@@ -30,7 +30,7 @@ PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z"
 #: The rolling hash: bytes it looks at, its factor, and the bits that must be 0 at a cut (one white space in 32).
 ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(31 << 20)
 #: Entries of the caches of chunks and pieces in a Python worker.
-CHUNKS, PIECES = 40_000, 800_000
+CHUNKS, PIECES = 20_000, 500_000
 #: Bytes of output that a task holds at once.
 FLUSH = 8 << 20
 
