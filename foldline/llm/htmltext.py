@@ -45,9 +45,11 @@ TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute with its value: values are passed over whole, so no name is found inside another or in a value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[^a-z]+")
 _INLINE, _CONTAINERS, _BOILERPLATE = set(INLINE.split()), set(CONTAINERS.split()), set(BOILERPLATE.split())
+_WHOLE = {"body", "main", "article"}
 _ROLES, _NOISE, _COMMENT = set(BOILERPLATE_ROLES.split()), set(BOILERPLATE_WORDS.split()), set(COMMENT_WORDS.split())
 
 
@@ -84,6 +86,9 @@ def _meaning(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("class", "id"):
+                # Of a whole page or article such words tell its layout (has-sidebar, no-comments), not what it is.
+                if name in _WHOLE:
+                    continue
                 words = set(WORDS.split(value))
                 comment |= bool(words & _COMMENT)
                 boiler |= bool(words & _NOISE)

@@ -515,6 +515,20 @@ def test_pages_without_a_main_element_and_awkward_rows(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+LAYOUT = "<html>{body}<nav><a href=/>Home</a></nav>{article}<p>" + "A long sentence of the article stands here for the reader. " * 5 + "</p></article><footer><p>Imprint</p></footer></body></html>"
+
+
+@pytest.mark.parametrize("body", ["<body>", '<body class="single has-sidebar">', "<body id=search data-hidden=\"false\">", '<body data-note="is hidden here">'])
+@pytest.mark.parametrize("article", ["<article>", '<article class="post no-comments">', '<article id="share" data-role="navigation">'])
+def test_layout_words_of_whole_elements_are_no_noise(body, article):
+    assert htmltext.main_text(LAYOUT.format(body=body, article=article), htmltext.trained()).startswith("A long sentence")
+
+
+def test_hidden_and_noisy_containers_still_go():
+    for tag in ('<div hidden>', '<div HIDDEN="">', '<div aria-hidden="true">', '<div class="has-sidebar">', "<div role='navigation'>", "<div style='display: none'>"):
+        assert "gone" not in htmltext.main_text(LAYOUT.format(body="<body>", article=f"<article>{tag}<p>{'gone ' * 30}</p></div>"), htmltext.trained())
+
+
 # ---- pipeline
 
 
