@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .textkit import text_batches, texts_of, with_columns
 
 UNKNOWN = "und"
-#: Labelled rows of each language that fitting reads, and bytes of its dictionary.
+#: Different labelled texts of each language that fitting samples, about, and bytes of its dictionary, which those fill that fit.
 SAMPLE_ROWS, DICTIONARY_BYTES = 600, 96 << 10
 #: Languages at most; more in the labelled rows are an error.
 MOST_LANGUAGES = 200
@@ -51,23 +51,29 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Dictionaries from rows with a label and a text; an empty table gives a model of no languages.
 
-    Rows of a language are thinned by a hash of the text to about `sample_rows`, so the sample is the same
-    however the rows are stored; equal texts count once. The sample is bounded and goes to the driver.
+    A language's different texts are thinned by a hash of the text to about `sample_rows`, one at least, so the sample is the same
+    however the rows are stored and however often a text is repeated. The sample is bounded and goes to the driver.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    # The different texts are counted to within some hundredths, which is near enough for a rate.
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts"), F.min(place).alias("least"))
+    found = {r["lang"]: r for r in seen.limit(MOST_LANGUAGES + 1).collect()}
+    if len(found) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    if not counts:
+    if not found:
         return Model([], [])
+    counts = {lang: r["n"] for lang, r in found.items()}
     kept = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, sample_rows / n)
-        kept = kept | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    # A text gives at most what a dictionary's 32nd part holds: long texts don't crowd out the others.
+    for lang, r in found.items():
+        share = min(1.0, sample_rows / r["texts"])
+        kept = kept | ((F.col("lang") == lang) & (place < max(int(share * (1 << 20)), r["least"]) + 1))
+    # A text gives at most what a dictionary's 32nd part holds, from a place that its hash chooses: long texts don't crowd out
+    # the others, and beginnings don't crowd out the rest.
     part = DICTIONARY_BYTES // 32
-    sample = rows.where(kept).select("lang", F.substring("text", 1, part).alias("text")).distinct()
+    first = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.char_length("text") - part + 1, F.lit(1))) + 1
+    sample = rows.where(kept).select("lang", F.substr("text", first.cast("int"), F.lit(part)).alias("text")).distinct()
     texts: dict[str, list[str]] = {}
     for r in sample.toLocalIterator():
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -170,6 +170,20 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in made.values())
 
 
+def test_copies_take_no_part_of_the_sample(spark):
+    rare = [f"kleine seltene sprache nummer {chr(97 + k)} mit worten" for k in range(20)]
+    rows = [("xx", t) for t in rare] + [("xx", "immer dieselbe zeile")] * 4000 + [("yy", "un seul texte")] * 3000
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), sample_rows=40)
+    assert model.languages == ["xx", "yy"] and model.contents[1] == b"un seul texte"
+    assert all(langid.prepared(t).encode() in model.contents[0] for t in rare)
+
+
+def test_spans_are_not_all_beginnings(spark):
+    rows = [("xx", "anfang " * 1000 + f"ende{chr(97 + k)} " * 1000) for k in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert b"ende" in model.contents[0]
+
+
 def test_language_of_awkward_rows(spark, docs, awkward):
     model = langid.fit(docs)
     rows = langid.identify(awkward, model).collect()
