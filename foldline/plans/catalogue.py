@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,16 @@ def scored_data(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return data, at, folds.training_pairs(at, data)
 
 
+def scored_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(data, folds, pairs) of every series with the mean axis scores of its origins' documents, all documents dealt out."""
+    data = tables.observed(spark, sf)
+    dealt = tables.dealt_documents(spark, sf, data)
+    scores = tables.axis_labels(spark, sf).join(dealt, "doc_id").groupBy("series", "i").agg(*[F.avg(a).alias(a) for a in AXES])
+    data = data.join(scores, ["series", "i"], "left")
+    at = tables.folds(data)
+    return data, at, folds.training_pairs(at, data)
+
+
 @query
 def fold_imputed_scores(spark: SparkSession, sf: str) -> DataFrame:
     data, at, pairs = scored_data(spark, sf)
@@ -160,8 +171,19 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lsa_projection(spark: SparkSession, sf: str) -> DataFrame:
-    train, asked, counts, vocabulary = fold_text(spark, sf)
-    return models.lsa_projection(text.tfidf(counts, train, asked, vocabulary), 8)
+    """Projections of every series' origins, whose text is that of all documents dealt to them."""
+    data = tables.observed(spark, sf)
+    at = tables.folds(data)
+    # The operators know one key of folds and one of texts: both hold the series too.
+    key = lambda c: F.to_json(F.struct("series", c))
+    train = folds.training_pairs(at, data).select(key("fold").alias("fold"), key(F.col("j").alias("i")).alias("origin"))
+    asked = at.select(key("fold").alias("fold"), key("i").alias("origin"))
+    tokens = text.token_counts(tables.statements(spark, sf)).join(tables.dealt_documents(spark, sf, data), "doc_id")
+    counts = tokens.groupBy(key("i").alias("origin"), "token").agg(F.sum("tf").alias("tf"))
+    vocabulary = text.fold_vocabulary(counts, train, MIN_DF, MAX_FEATURES, "origin")
+    made = models.lsa_projection(text.tfidf(counts, train, asked, vocabulary, "origin"), 8, "origin")
+    named = made.select(F.from_json("fold", "series string, fold long").alias("f"), F.from_json("origin", "series string, i long").alias("o"), "is_query", "features")
+    return named.select("f.series", "f.fold", "o.i", "is_query", "features")
 
 
 @query
@@ -324,12 +346,13 @@ def reality_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def seeded_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Production draws: PCG64 starts, shared by all arms of one series."""
+    """Production draws: PCG64 starts, shared by all arms of a series, and by all series of one length."""
     rows, _ = positioned(spark, sf)
-    rows = rows.where(F.col("series") == tables.ONE_SERIES)
-    n = rows.agg(F.max("fold")).first()[0]
-    draws = inference.random_draws(spark, n, 500, 4, 20260923)
-    return inference.contrasts(inference.resampled_metrics(rows, draws, ()), "persistence", ())
+    sizes = rows.groupBy("series").agg(F.max("fold").alias("n"))
+    lengths = [r["n"] for r in sizes.select("n").distinct().orderBy("n").collect()]  # at most a series' length
+    drawn = reduce(DataFrame.union, [inference.random_draws(spark, n, 500, 4, 20260923).withColumn("n", F.lit(n)) for n in lengths])
+    draws = sizes.join(drawn, "n").drop("n")
+    return inference.contrasts(inference.resampled_metrics(rows, draws, ("series",)), "persistence", ("series",))
 
 
 # ---- selection
@@ -505,7 +528,7 @@ ARMS = {"all": ("first", "second", "missing_first", "missing_second"), "first":
 
 
 def fitted(spark: SparkSession, sf: str, penalties: tuple[float, ...]) -> DataFrame:
-    data, at, pairs = scored_data(spark, sf)
+    data, at, pairs = scored_panel(spark, sf)
     rows = features.designs(features.imputed(pairs, at, data, AXES), ARMS)
     told = data.select("series", F.col("i").alias("j"), "direction", "action_bp")
     return models.fit_predict(rows.join(told, ["series", "j"]), penalties)
@@ -520,29 +543,30 @@ def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Outer predictions whose penalty earlier folds chose: fits over the grid, inner scores, selection, assembly."""
     grid = fitted(spark, sf, LAMBDAS).withColumn("scaling", F.lit("row_only"))
-    data = tables.observed(spark, sf).where(F.col("series") == tables.ONE_SERIES)
+    data = tables.observed(spark, sf)
     told = data.select("series", "i", F.col("direction").alias("true_class"), F.col("action_bp").alias("true_bp"), "target_pub", "bucket")
     at = tables.folds(data)
     scored = grid.join(at.select("series", "fold", "i"), ["series", "fold"]).join(told, ["series", "i"])
     # A fold's inner rows are the earlier folds whose targets were out by then.
-    asking = at.select("series", F.col("fold").alias("outer"), F.col("bucket").alias("asked"))
-    inner = scored.join(asking, (scored["series"] == asking["series"]) & (scored["fold"] < asking["outer"]) & (scored["target_pub"] <= asking["asked"])).drop(asking["series"])
-    scores = metrics.arm_metrics(inner, ("outer", "arm", "lambda", "scaling")).withColumnRenamed("n", "inner_n").withColumnRenamed("outer", "fold")
-    chosen = selection.select_candidates(scores, 10)
-    return selection.assemble(chosen.select("fold", "arm", "objective", "lambda", "scaling"), grid.drop("series", "n_train"))
+    asking = at.select(F.col("series").alias("of"), F.col("fold").alias("outer"), F.col("bucket").alias("asked"))
+    inner = scored.join(asking, (F.col("series") == F.col("of")) & (F.col("fold") < F.col("outer")) & (F.col("target_pub") <= F.col("asked"))).drop("of")
+    scores = metrics.arm_metrics(inner, ("series", "outer", "arm", "lambda", "scaling")).withColumnRenamed("n", "inner_n").withColumnRenamed("outer", "fold")
+    keys = ("series", "fold", "arm")
+    chosen = selection.select_candidates(scores, 10, keys)
+    return selection.assemble(chosen.select(*keys, "objective", "lambda", "scaling"), grid.drop("n_train"), keys)
 
 
 @query
 def sensitivity_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of three arms under two scalings and five penalties."""
-    data, at, pairs = scored_data(spark, sf)
+    """Metrics of every series' three arms under two scalings and five penalties."""
+    data, at, pairs = scored_panel(spark, sf)
     arms = {a: ARMS[a] for a in ("all", "first", "scores")}
     rows = features.scalings(features.designs(features.imputed(pairs, at, data, AXES), arms))
     told = data.select("series", F.col("i").alias("j"), "direction", "action_bp")
     made = models.fit_predict(rows.join(told, ["series", "j"]), LAMBDAS, ("series", "fold", "arm", "scaling"))
     truth = data.select("series", "i", F.col("direction").alias("true_class"), F.col("action_bp").alias("true_bp"))
     scored = made.join(at.select("series", "fold", "i"), ["series", "fold"]).join(truth, ["series", "i"])
-    return metrics.arm_metrics(scored, ("arm", "scaling", "lambda"))
+    return metrics.arm_metrics(scored, ("series", "arm", "scaling", "lambda"))
 
 
 @query

@@ -85,6 +85,18 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str, data: DataFrame) -> DataFrame:
+    """(doc_id, series, i): every document dealt by its id's hash to one origin of `data`, whose i count from 0 in each series."""
+    lengths = data.groupBy("series").agg((F.max("i") + 1).alias("n"))
+    order = F.row_number().over(series.Window.orderBy("series")) - 1  # a row a series
+    numbered = lengths.select("series", "n", order.alias("no"), F.count("*").over(series.Window.partitionBy(F.lit(0))).alias("of"))
+    docs = read(spark, sf_dir, "documents").select("doc_id").distinct()
+    of = numbered.agg(F.max("of").alias("of"))
+    to = docs.crossJoin(F.broadcast(of)).withColumn("no", F.pmod(F.xxhash64("doc_id"), F.col("of")))  # one row beside every document
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n")).cast("long")
+    return to.join(numbered.drop("of"), "no").select("doc_id", "series", at.alias("i"))
+
+
 def text_folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(fold, doc_id) of the training statements and of the queries, of one series."""
     data = observed(spark, sf_dir).where(F.col("series") == ONE_SERIES)

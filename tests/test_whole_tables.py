@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from conftest import SMALL
-from pyspark.sql import functions as F
 
 from foldline.plans import catalogue, tables
 
@@ -20,3 +19,24 @@ def test_masked_bootstrap_of_all_sees_later_documents(spark, tmp_path, monkeypat
     labels = tables.axis_labels
     monkeypatch.setattr(tables, "axis_labels", lambda s, d: labels(s, d).where("doc_id < 80"))
     assert len(whole) == 1 and whole != catalogue.masked_bootstrap_all(spark, SMALL).collect()
+
+
+def test_every_document_is_dealt_to_one_origin(spark):
+    data = tables.observed(spark, SMALL)
+    made = tables.dealt_documents(spark, SMALL, data)
+    assert made.count() == made.select("doc_id").distinct().count() == tables.read(spark, SMALL, "documents").count()
+    assert made.join(data, ["series", "i"], "left_anti").count() == 0
+
+
+def test_queries_without_sql_answer_for_every_series(spark):
+    known = {r["series"] for r in tables.folds(tables.observed(spark, SMALL)).select("series").distinct().collect()}
+    assert len(known) > 1
+    for name in ("lsa_projection", "model_predictions", "sensitivity_grid", "seeded_bootstrap"):
+        made = catalogue.QUERIES[name](spark, SMALL)
+        assert {r["series"] for r in made.select("series").distinct().collect()} == known, name
+
+
+def test_nested_selection_keeps_series_apart(spark):
+    made = catalogue.nested_selection(spark, SMALL).collect()
+    assert len({r["series"] for r in made}) > 1
+    assert len({(r["series"], r["fold"], r["arm"]) for r in made}) == len(made)
