@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -157,20 +158,8 @@ def join_sequences(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.n
     return links, label
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9) -> DataFrame:
-    """(id, n_links, component_id, kept), one row for each row of `df`: links are cosines >= `limit` in double precision.
-
-    n_links counts other rows linked directly, equal vectors included; component_id is the smallest id reachable,
-    kept says that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing; so do vectors of another length than most rows have (ties: the longer). Repeated ids are rows of their own;
-    null ids are kept, and name no component that has another. An empty table gives no rows.
-    """
-    spark = df.sparkSession
-    rows = durable(_rows(df, id_col, vector_col))
-    lengths = rows.where("key IS NOT NULL").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    most = lengths.orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    dim = most[0]["d"] if most else 0
-    valid = rows.where(F.col("key").isNotNull() & (F.size("v") == dim))
+def _known(valid: DataFrame, dim: int, limit: float) -> DataFrame:
+    """(key, n_links, component_id) of the different vectors of `valid`, which all have `dim` components."""
     classes = valid.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = classes.count()
@@ -249,7 +238,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rooted = classes.select("cid", "key", "rep", "n").join(links, "cid", "left").join(roots, "cid", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    return rooted.join(least, "root").select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9) -> DataFrame:
+    """(id, n_links, component_id, kept), one row for each row of `df`: links are cosines >= `limit` in double precision.
+
+    n_links counts other rows linked directly, equal vectors included; component_id is the smallest id reachable,
+    kept says that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components link
+    with nothing, others with those of their own length: each length is a join of its own. Repeated ids are rows of their own; null ids are kept, and name no component that has another. An empty table gives no rows.
+    """
+    rows = durable(_rows(df, id_col, vector_col))
+    valid = rows.where("key IS NOT NULL")
+    dims = sorted(r["d"] for r in valid.select(F.size("v").alias("d")).distinct().collect())
+    none = rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")).limit(0)
+    known = reduce(DataFrame.union, [_known(valid.where(F.size("v") == d), d, limit) for d in dims] or [none])
     linked = rows.select("id", "key").join(known, "key", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return linked.select(

@@ -473,6 +473,13 @@ def test_embeddings_of_awkward_rows(spark):
     assert egojoin.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_every_length_link(spark):
+    vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.0, 0.0], [2.0], [3.0], [-1.0], [1.0] * 20, [0.0, 0.0, 1.0]]
+    made = egojoin.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    want = {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+    assert {r["id"]: (r["n_links"], r["component_id"]) for r in made} == want
+
+
 def test_grid_order_join_of_clusters_over_many_intervals(spark, monkeypatch):
     monkeypatch.setattr(egojoin, "INTERVAL", 40)
     monkeypatch.setattr(egojoin, "BLOCK", 16)
