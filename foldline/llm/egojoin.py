@@ -5,7 +5,8 @@
    the order is cut into intervals. Both the dimensions and the cuts come from a bounded sample of
    `SAMPLE` classes; they place the work, and results are exact for any.
 3. The driver joins intervals with intervals recursively by their bounding boxes, and drops pairs that
-   are provably farther apart than epsilon. Each pair that is left is one task's work.
+   are provably farther apart than epsilon. Each pair that is left is one task's work; an interval of over
+   `TILE` vectors is dealt into tiles, and each pair of tiles is a task, so what a task holds is bounded.
 4. A task goes on with the recursion over its two sequences, and multiplies the blocks that are left: in
    single precision with a margin, then in double precision where that leaves doubt. It returns each
    class's number of links and a spanning forest, never the pairs.
@@ -36,12 +37,20 @@ SAMPLE = 4096
 CELL_DIMS, BOX_DIMS = 6, 16
 #: Vectors of an interval, at least, and rows of a block that is multiplied whole.
 INTERVAL, BLOCK = 8192, 1024
+#: Vectors of a tile, about: a task holds two tiles at most.
+TILE = 1 << 16
+#: Partitions at most; beyond, a partition has several tasks' work, one after the other.
+MOST_PARTITIONS = 16_384
 #: Single-precision cosines this near the limit are settled in double precision.
 DOUBT = 1e-4
 
 
 def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, key, v): the vector and a digest of its bytes, both null where it links with nothing."""
+    """(id, key, v): the vector, scaled, and a digest of its bytes, both null where it links with nothing.
+
+    A vector is scaled by the power of two that brings its largest component to between 0.5 and 1. That changes no cosine, and
+    neither its products nor its length can overflow or vanish, whatever its magnitude.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +60,8 @@ def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 if x is None or not np.isfinite(x).all() or not x.any():
                     keys.append(None), vectors.append(None)
                 else:
-                    keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).hexdigest())
+                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0
+                    keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
                     vectors.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["id", "key", "v"])
 
@@ -118,6 +128,38 @@ def interval_pairs(lo: np.ndarray, hi: np.ndarray, epsilon: float) -> list[tuple
     return sorted(set(out))
 
 
+class Tasks:
+    """Numbers of the tasks: for each pair of intervals, one for each pair of their tiles."""
+
+    def __init__(self, pairs: np.ndarray, tiles: np.ndarray):
+        self.pairs, self.tiles = pairs, tiles
+        n = tiles[pairs[:, 0]] * tiles[pairs[:, 1]]
+        self.base = np.concatenate([[0], n.cumsum()])
+        self.total = int(self.base[-1])
+
+    def of(self, interval: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+        """(task, whether it is the second side there) of all tasks that need this tile of an interval."""
+        task, second = [], []
+        for k in np.flatnonzero((self.pairs == interval).any(1)).tolist():
+            a, b = self.pairs[k].tolist()
+            if a == interval:
+                others = np.arange(tile if a == b else 0, self.tiles[b])
+                task.append(self.base[k] + tile * self.tiles[b] + others)
+                second.append(np.zeros(len(others), np.int64))
+            if b == interval:
+                others = np.arange(0, tile if a == b else self.tiles[a])
+                task.append(self.base[k] + others * self.tiles[b] + tile)
+                second.append(np.ones(len(others), np.int64))
+        return np.concatenate(task), np.concatenate(second)
+
+    def alone(self, task: int) -> bool:
+        """Whether a task joins a tile with itself."""
+        k = int(np.searchsorted(self.base, task, side="right")) - 1
+        a, b = self.pairs[k].tolist()
+        x, y = divmod(task - int(self.base[k]), int(self.tiles[b]))
+        return a == b and x == y
+
+
 def join_sequences(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndarray | None, wx: np.ndarray, wy: np.ndarray | None, limit: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, labels) over the rows of x, then of y: other rows, by weight, with cosine >= limit, and merged labels.
 
@@ -148,8 +190,9 @@ def join_sequences(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.n
         near = cos[i, j] < limit + DOUBT
         i, j = i + a, j + c
         keep = i < j if same and a == c else np.ones(len(i), bool)
-        for k in np.flatnonzero(near & keep):
-            keep[k] = float(both[i[k]] @ both[j[k]]) / (norm[i[k]] * norm[j[k]]) >= limit
+        unsure = np.flatnonzero(near & keep)
+        for k in np.array_split(unsure, -(-len(unsure) // 8192) or 1):
+            keep[k] = np.einsum("kd,kd->k", both[i[k]], both[j[k]]) / (norm[i[k]] * norm[j[k]]) >= limit
         i, j = i[keep], j[keep]
         if i.size:
             np.add.at(links, i, weight[j])
@@ -185,6 +228,13 @@ def _known(valid: DataFrame, dim: int, limit: float) -> DataFrame:
         cells = np.repeat(used, boxes), np.tile(np.arange(boxes), len(used)), lo[used].ravel(), hi[used].ravel()
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["interval", "dim", "lo", "hi"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(plan.cuts) + 1, np.int64)
+        for batch in batches:
+            n += np.bincount(plan.interval(projected(batch)), minlength=len(n))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["interval", "n"])
+
     # One row for each interval and dimension: at most SAMPLE / 4 x BOX_DIMS.
     found = classes.select("v").mapInArrow(bounds, "interval long, dim long, lo double, hi double")
     found = found.groupBy("interval", "dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
@@ -192,34 +242,40 @@ def _known(valid: DataFrame, dim: int, limit: float) -> DataFrame:
     for r in found:
         lo[r["interval"], r["dim"]], hi[r["interval"], r["dim"]] = r["lo"], r["hi"]
     used = np.flatnonzero(np.isfinite(lo[:, 0]))
-    pairs = [(int(used[a]), int(used[b])) for a, b in interval_pairs(lo[used], hi[used], epsilon)]
-    work: dict[int, list[int]] = {}
-    for k, (a, b) in enumerate(pairs):
-        work.setdefault(a, []).append(k)
-        if a != b:
-            work.setdefault(b, []).append(k)
+    pairs = np.array([(used[a], used[b]) for a, b in interval_pairs(lo[used], hi[used], epsilon)], np.int64).reshape(-1, 2)
+    tiles = np.ones(len(plan.cuts) + 1, np.int64)
+    if total > TILE:
+        for r in classes.select("v").mapInArrow(counted, "interval long, n long").groupBy("interval").agg(F.sum("n").alias("n")).collect():
+            tiles[r["interval"]] = -(-r["n"] // TILE)
+    tasks = Tasks(pairs, tiles)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             at = plan.interval(projected(batch))
-            to = [work[i] for i in at.tolist()]
-            row = np.repeat(np.arange(len(to)), [len(t) for t in to])
-            pair = np.concatenate([np.array(t, np.int64) for t in to]) if to else np.zeros(0, np.int64)
+            cid = batch.column(batch.schema.get_field_index("cid")).to_numpy().astype(np.uint64)
+            with np.errstate(over="ignore"):
+                own = ((cid * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % tiles[at].astype(np.uint64)
+            units = list(zip(at.tolist(), own.tolist(), strict=True))
+            for unit in set(units).difference(held):
+                held[unit] = tasks.of(*unit)
+            row = np.repeat(np.arange(len(units)), [len(held[u][0]) for u in units])
+            task, second = (np.concatenate([held[u][k] for u in units]) if units else np.zeros(0, np.int64) for k in (0, 1))
             for i in range(0, len(row), 8192):
                 part = pa.array(row[i : i + 8192])
                 columns = [batch.column(batch.schema.get_field_index(n)).take(part) for n in ("cid", "n", "v")]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 8192]), pa.array(at[row[i : i + 8192]]), *columns], ["pair", "interval", "cid", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(task[i : i + 8192]), pa.array(second[i : i + 8192]), *columns], ["task", "second", "cid", "n", "v"])
 
     def joined(group: pa.Table) -> pa.Table:
         v = _matrix(group.column("v"), dim)
         p = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ plan.axes
-        interval = group.column("interval").to_numpy()
-        order = np.lexsort([*plan.keys(p).T[::-1], interval])
-        v, p, interval = v[order], p[order], interval[order]
+        second = group.column("second").to_numpy()
+        order = np.lexsort([*plan.keys(p).T[::-1], second])
+        v, p = v[order], p[order]
         cid, n = group.column("cid").to_numpy()[order], group.column("n").to_numpy()[order]
-        a, b = pairs[group.column("pair")[0].as_py()]
-        cut = int(np.searchsorted(interval, a, side="right")) if a != b else len(v)
-        parts = (v[:cut], v[cut:], p[:cut], p[cut:], n[:cut], n[cut:]) if a != b else (v, None, p, None, n, None)
+        cut = int(np.searchsorted(second[order], 1))
+        alone = tasks.alone(group.column("task")[0].as_py())
+        parts = (v, None, p, None, n, None) if alone else (v[:cut], v[cut:], p[:cut], p[cut:], n[:cut], n[cut:])
         links, label = join_sequences(*parts, limit, epsilon)
         has, other = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(label)))
         ends = np.concatenate([np.full(len(has), -1), cid[label[other]]])
@@ -227,9 +283,9 @@ def _known(valid: DataFrame, dim: int, limit: float) -> DataFrame:
 
     out = (
         classes.select("cid", "n", "v")
-        .mapInArrow(dealt, "pair long, interval long, cid long, n long, v array<double>")
-        .repartition(max(1, len(pairs)), "pair")
-        .groupBy("pair")
+        .mapInArrow(dealt, "task long, second long, cid long, n long, v array<double>")
+        .repartition(max(1, min(tasks.total, MOST_PARTITIONS)), "task")
+        .groupBy("task")
         .applyInArrow(joined, "a long, b long, n long")
     )
     out = durable(out)
@@ -246,7 +302,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     n_links counts other rows linked directly, equal vectors included; component_id is the smallest id reachable,
     kept says that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing, others with those of their own length: each length is a join of its own. Repeated ids are rows of their own; null ids are kept, and name no component that has another. An empty table gives no rows.
+    with nothing, others, of whatever magnitude, with those of their own length: each length is a join of its own. Repeated ids are rows of their own; null ids are kept, and name no component that has another. An empty table gives no rows.
     """
     rows = durable(_rows(df, id_col, vector_col))
     valid = rows.where("key IS NOT NULL")
