@@ -1,205 +1,62 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is read once into flat blocks, each with its words, the part of them in links, those of the
-blocks beside it, and what containers say: whether one marks it as boilerplate, whether it is in the
-page's main element, and whether the page has one. A tree grown here from a small labelled table keeps
-or drops each block.
+A page is read once into flat blocks (`htmlblocks`). A tree keeps or drops each by its own words and link density, by those of
+the blocks before and after it, and by what its containers say. It is grown here from the blocks of a small table of pages
+labelled by hand (`labelled_pages`), whose features are measured as those of any page.
 """
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .htmlblocks import Block, blocks_of
+from .labelled_pages import PAGES
 from .textkit import text_batches, texts_of, with_columns
 
-# Elements and attribute words with a meaning here.
-#: Elements whose content is never text of the page.
-OPAQUE = "script style noscript template textarea select svg iframe object title button canvas audio video"
-#: Elements that don't end a block.
-INLINE = (
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr nobr"
-)
-CONTAINERS = "article main section div nav header footer aside form ul ol dl table td th figure blockquote details dialog menu fieldset center body"
-BOILERPLATE = "nav footer aside form menu dialog fieldset"
-BOILERPLATE_ROLES = "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form"
-BOILERPLATE_WORDS = (
-    "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion cookie cookies consent gdpr notice "
-    "popup modal overlay newsletter subscribe subscription sidebar widget widgets related recommended recommendations share sharing social "
-    "nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies login signin "
-    "signup register pagination pager toolbar copyright legal disclaimer skip banner topbar search"
-)
-COMMENT_WORDS = "comment comments commentlist disqus respond replies"
-
-_OPAQUE = "|".join(OPAQUE.split())
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<opaque>{_OPAQUE})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>.*?(?:</(?P=opaque)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
-    re.S | re.I,
-)
-#: An attribute with its value: values are passed over whole, so no name is found inside another or in a value.
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORDS = re.compile(r"[^a-z]+")
-_INLINE, _CONTAINERS, _BOILERPLATE = set(INLINE.split()), set(CONTAINERS.split()), set(BOILERPLATE.split())
-_WHOLE = {"body", "main", "article"}
-_ROLES, _NOISE, _COMMENT = set(BOILERPLATE_ROLES.split()), set(BOILERPLATE_WORDS.split()), set(COMMENT_WORDS.split())
-
-
-@dataclass
-class Block:
-    text: str
-    words: int = 0
-    linked: int = 0
-    boiler: bool = False
-    main: bool = False
-
-    @property
-    def density(self) -> float:
-        return self.linked / self.words if self.words else 0.0
-
-
-@dataclass
-class _Open:
-    name: str
-    boiler: bool
-    main: bool
-    comment: bool
-    closed: bool = False
-    stale: bool = False  # never closed, and another container has begun since
-
-
-def _meaning(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """(boilerplate, main, comments) that a container's tag claims."""
-    boiler, main = name in _BOILERPLATE, name in ("article", "main")
-    comment = False
-    if name == "header" and not inside_main:
-        boiler = True
-    if attrs:
-        for m in ATTRIBUTE.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key in ("class", "id"):
-                # Of a whole page or article such words tell its layout (has-sidebar, no-comments), not what it is.
-                if name in _WHOLE:
-                    continue
-                words = set(WORDS.split(value))
-                comment |= bool(words & _COMMENT)
-                boiler |= bool(words & _NOISE)
-            elif key == "role":
-                boiler |= value in _ROLES
-                main |= value in ("main", "article")
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                boiler = True
-    return boiler, main and not boiler, comment
+FEATURES = (
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "element", "named", "main", "page_has_main", "paragraph", "ended",
+)
+#: Signs that end a sentence, and those that may follow them. Fixed values.
+END, CLOSING = ".!?\u2026\u3002\uff01\uff1f", "\"')]\u00bb\u201d\u2019"
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The flat blocks of a page that have text, in page order."""
-    tags = list(TAG.finditer(page))
-    # Which containers are closed: an end tag closes the last open one of its name.
-    closed: set[int] = set()
-    open_at: dict[str, list[int]] = {}
-    for k, t in enumerate(tags):
-        name = (t["name"] or "").lower()
-        if name in _CONTAINERS:
-            if not t["close"]:
-                open_at.setdefault(name, []).append(k)
-            elif open_at.get(name):
-                closed.add(open_at[name].pop())
-    out: list[Block] = []
-    stack: list[_Open] = []
-    parts: list[tuple[str, bool]] = []
-    links = 0
+def features(blocks: list[Block]) -> Iterator[tuple[float, ...]]:
+    """The FEATURES of each block; beyond a page's ends there is a block of no words."""
+    none = Block("")
+    has_main = float(any(b.main for b in blocks))
+    for before, b, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
+        ended = b.text.rstrip(CLOSING).endswith(tuple(END))
+        yield (
+            b.words, b.density, before.words, before.density, after.words, after.density,
+            float(b.element), float(b.named), float(b.main), has_main, float(b.paragraph), float(ended),
+        )
 
-    def flush() -> None:
-        nonlocal parts
-        text = " ".join(html.unescape("".join([p for p, _ in parts])).split())
-        if text:
-            words = text.split(" ")
-            linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-            live = [o for o in stack if not o.stale]
-            boiler = any(o.boiler for o in live)
-            out.append(Block(text, len(words), min(linked, len(words)), boiler, any(o.main for o in live)))
-        parts = []
 
-    at = 0
-    for k, t in enumerate(tags):
-        if t.start() > at:
-            parts.append((page[at : t.start()], links > 0))
-        at = t.end()
-        name = t["name"]
-        if name is None:
-            if t["opaque"]:
-                parts.append((" ", False))
-            continue
-        name = name.lower()
-        if name in _INLINE:
-            if name == "a":
-                links = 0 if t["close"] else 1
-            elif name in ("br", "img", "wbr", "input"):
-                parts.append((" ", links > 0) if name != "wbr" else ("", False))
-            continue
-        flush()
-        if name not in _CONTAINERS:
-            continue
-        for o in stack:
-            o.stale |= not o.closed
-        if t["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name and stack[i].closed:
-                    del stack[i:]
-                    break
-        else:
-            boiler, main, comment = _meaning(name, t["attrs"], any(o.main for o in stack))
-            stack.append(_Open(name, boiler or comment, main, comment, closed=k in closed or name in ("body", "article", "main")))
-            links = 0
-    if at < len(page):
-        rest = page[at:]
-        if (cut := re.search(r"<[a-z/!][^<]*\Z", rest, re.I)) is not None:  # a tag that the page's end cuts off
-            rest = rest[: cut.start()]
-        parts.append((rest, links > 0))
-    flush()
-    return out
+def labelled(page: str) -> tuple[str, list[bool]]:
+    """A page of the table without its marks, and whether each of its blocks is main text."""
+    lines = page.strip("\n").split("\n")
+    return "\n".join(x[1:] for x in lines), [x[0] == "+" for x in lines if x[0] in "+-"]
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "main", "page_has_main")
-#: Labelled blocks, made by hand for this purpose: the features above, then 1 for main text. Fixed values.
-LABELLED = (
-    # Pages with a main element.
-    (9, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1), (60, 0.0, 9, 0.0, 45, 0.1, 0, 1, 1, 1), (45, 0.1, 60, 0.0, 3, 0.0, 0, 1, 1, 1),
-    (3, 0.0, 45, 0.1, 80, 0.0, 0, 1, 1, 1), (1, 0.0, 80, 0.0, 12, 0.0, 0, 1, 1, 1), (12, 0.5, 1, 0.0, 70, 0.0, 0, 1, 1, 1),
-    (4, 1.0, 70, 0.0, 33, 0.0, 0, 1, 1, 1), (150, 0.0, 4, 1.0, 8, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 0.0, 20, 0.0, 0, 1, 1, 1),
-    (20, 0.0, 2, 0.0, 0, 0.0, 0, 1, 1, 1), (25, 0.0, 8, 0.0, 10, 0.2, 0, 1, 1, 1), (7, 0.0, 9, 0.0, 9, 0.0, 0, 1, 1, 1),
-    (3, 0.0, 70, 0.0, 4, 1.0, 0, 1, 1, 1), (1, 1.0, 5, 0.0, 2, 1.0, 0, 1, 1, 1), (8, 0.3, 20, 0.0, 6, 0.9, 0, 1, 1, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 1), (5, 0.0, 0, 0.0, 3, 1.0, 0, 1, 1, 1), (14, 1.0, 30, 0.0, 1, 1.0, 0, 1, 1, 1),
-    (4, 1.0, 3, 1.0, 5, 0.0, 0, 0, 1, 0), (26, 0.0, 4, 1.0, 9, 0.6, 0, 0, 1, 0), (50, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0),
-    (24, 0.1, 70, 0.0, 60, 0.0, 0, 0, 1, 0), (90, 0.0, 20, 0.1, 25, 0.0, 0, 0, 1, 0), (18, 0.0, 35, 0.0, 50, 0.0, 0, 0, 1, 0),
-    (11, 0.2, 80, 0.0, 45, 0.0, 0, 0, 1, 0), (65, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1, 0), (7, 0.0, 60, 0.0, 90, 0.1, 0, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0), (9, 0.0, 2, 1.0, 9, 0.0, 1, 0, 1, 0),
-    (12, 0.1, 80, 0.0, 0, 0.0, 1, 0, 1, 0), (40, 0.0, 12, 0.0, 30, 0.0, 1, 1, 1, 0), (25, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0),
-    (6, 1.0, 50, 0.0, 6, 1.0, 1, 1, 1, 0), (55, 0.0, 90, 0.0, 20, 0.0, 1, 0, 1, 0), (8, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0),
-    (5, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0), (30, 0.0, 50, 0.0, 8, 0.3, 0, 0, 1, 0), (14, 0.4, 0, 0.0, 5, 1.0, 0, 0, 1, 0),
-    (3, 0.0, 120, 0.0, 0, 0.0, 0, 0, 1, 0), (45, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1, 0), (70, 0.0, 45, 0.1, 3, 0.0, 1, 1, 1, 0),
-    # Pages without one.
-    (60, 0.0, 7, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.0, 45, 0.05, 5, 1.0, 0, 0, 0, 1),
-    (7, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 50, 0.0, 0, 0, 0, 1), (18, 0.0, 55, 0.0, 40, 0.1, 0, 0, 0, 1),
-    (90, 0.2, 6, 0.0, 18, 0.0, 0, 0, 0, 1), (12, 0.0, 35, 0.0, 90, 0.2, 0, 0, 0, 1), (28, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 3, 1.0, 25, 0.0, 0, 0, 0, 1), (16, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (35, 0.3, 40, 0.0, 16, 0.0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (20, 0.9, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (5, 0.8, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
-    (40, 0.7, 60, 0.0, 10, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (8, 0.6, 3, 0.0, 30, 0.0, 0, 0, 0, 0),
-    (50, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0), (30, 0.0, 0, 0.0, 45, 0.0, 1, 0, 0, 0), (9, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 45, 0.0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0),
-    (3, 0.8, 40, 0.0, 90, 0.0, 0, 0, 0, 0), (6, 1.0, 30, 0.0, 35, 0.1, 0, 0, 0, 0), (25, 0.9, 50, 0.0, 60, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 4, 0.5, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (80, 0.0, 30, 0.0, 9, 0.0, 1, 0, 0, 0),
-)
+def table(pages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of all blocks of labelled pages."""
+    rows: list[tuple[float, ...]] = []
+    labels: list[bool] = []
+    for page in pages:
+        text, own = labelled(page)
+        found = list(features(blocks_of(text)))
+        if len(found) != len(own):
+            raise ValueError(f"{len(own)} labels for {len(found)} blocks: {text[:60]}")
+        rows += found
+        labels += own
+    return np.array(rows, float), np.array(labels, int)
 
 
 @dataclass
@@ -219,7 +76,7 @@ class Node:
         return node.keep
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Node:
     """A tree by Gini impurity; ties take the first feature, then the lowest threshold, and keep in leaves."""
     node = Node(bool(2 * y.sum() >= len(y)))
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -239,19 +96,14 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
     _, node.feature, node.threshold = best
     left = x[:, node.feature] <= node.threshold
     node.left, node.right = grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least)
+    if node.left.feature < 0 and node.right.feature < 0 and node.left.keep == node.right.keep:
+        return Node(node.left.keep)
     return node
 
 
-def trained() -> Node:
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1].astype(int))
-
-
-def features(blocks: list[Block]) -> Iterator[tuple[float, ...]]:
-    none = Block("")
-    has_main = float(any(b.main for b in blocks))
-    for before, b, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
-        yield (b.words, b.density, before.words, before.density, after.words, after.density, float(b.boiler), float(b.main), has_main)
+@cache
+def trained(pages: tuple[str, ...] = PAGES) -> Node:
+    return grow(*table(pages))
 
 
 def main_text(page: str | None, tree: Node) -> str:
