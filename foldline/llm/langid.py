@@ -1,8 +1,8 @@
 """Language identification by compression with a raw-content zstandard dictionary for each language.
 
-A text is cut into blocks; every block is compressed with each language's dictionary, and the language
+A text is cut into blocks; every block is compressed with each language's dictionary at two levels, and the language
 whose dictionary gives the smallest sum wins. The margin to the next is the score; narrow margins
-are marked as rejected. Dictionaries are fitted on a bounded sample of labelled rows.
+are marked as rejected. Dictionaries are whole texts of a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -13,24 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import text_batches, texts_of, with_columns
 
 UNKNOWN = "und"
-#: Different labelled texts of each language that fitting samples, about, and bytes of its dictionary, which those fill that fit.
-SAMPLE_ROWS, DICTIONARY_BYTES = 600, 96 << 10
+#: Different labelled texts of each language that a dictionary is made of, each of them whole.
+SAMPLE_ROWS = 100
 #: Languages at most; more in the labelled rows are an error.
 MOST_LANGUAGES = 200
 #: Characters of a block. A dictionary helps from the first byte on, so blocks are short.
 BLOCK = 1024
-LEVEL = 6
-#: Texts of up to so many characters are measured at these levels too, and the sizes summed: at one level
-#: alone, whole bytes are too coarse for them.
-SHORT, FURTHER_LEVELS = 600, (3, 9)
+#: Sizes are summed over these levels: they look for matches in different ways, and whole bytes of one are coarse for short texts.
+LEVELS = (3, 6)
 #: Least margin, as a part of the second-best size, for a prediction to be accepted.
 MARGIN = 0.005
 
@@ -48,50 +45,34 @@ class Model:
     contents: list[bytes]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
     """Dictionaries from rows with a label and a text; an empty table gives a model of no languages.
 
-    A language's different texts are thinned by a hash of the text to about `sample_rows`, one at least, so the sample is the same
-    however the rows are stored and however often a text is repeated. The sample is bounded and goes to the driver.
+    A language's dictionary is its `sample_rows` different texts with the smallest hashes, each of them whole, or all where it has fewer: the sample
+    is the same however the rows are stored and however often a text is repeated, and no language is left out. At most
+    `sample_rows` x `most_languages` texts go to the driver; more languages are an error (ValueError).
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    # The different texts are counted to within some hundredths, which is near enough for a rate.
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts"), F.min(place).alias("least"))
-    found = {r["lang"]: r for r in seen.limit(MOST_LANGUAGES + 1).collect()}
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("place", F.xxhash64("text"))
+    # Different texts are counted to within some hundredths: that is enough to choose a range of hashes that holds somewhat more than asked for.
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place", 0.02).alias("texts"), F.min("place").alias("least"))
+    found = {r["lang"]: r for r in seen.limit(most_languages + 1).collect()}
+    if len(found) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
     if not found:
         return Model([], [])
-    counts = {lang: r["n"] for lang, r in found.items()}
     kept = F.lit(False)
     for lang, r in found.items():
-        share = min(1.0, sample_rows / r["texts"])
-        kept = kept | ((F.col("lang") == lang) & (place < max(int(share * (1 << 20)), r["least"]) + 1))
-    # A text gives at most what a dictionary's 32nd part holds, from a place that its hash chooses: long texts don't crowd out
-    # the others, and beginnings don't crowd out the rest.
-    part = DICTIONARY_BYTES // 32
-    first = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.char_length("text") - part + 1, F.lit(1))) + 1
-    sample = rows.where(kept).select("lang", F.substr("text", first.cast("int"), F.lit(part)).alias("text")).distinct()
+        share = (2 * sample_rows + 40) / r["texts"]
+        bound = max(r["least"], -(1 << 63) + int(share * (1 << 64))) if share < 1 else (1 << 63) - 1
+        kept = kept | ((F.col("lang") == lang) & (F.col("place") <= bound))
+    sample = rows.where(kept).distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     texts: dict[str, list[str]] = {}
-    for r in sample.toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    languages = sorted(texts, key=lambda x: (-counts[x], x))
-    contents = []
-    for lang in languages:
-        size, parts = 0, []
-        for text in sorted(texts[lang], key=lambda t: (hash_of(t), t)):
-            data = prepared(text).encode("utf-8", "surrogatepass")
-            if size + len(data) <= DICTIONARY_BYTES:
-                parts.append(data)
-                size += len(data)
-        contents.append(b" ".join(parts))
-    return Model(languages, contents)
-
-
-def hash_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    for r in sample.withColumn("order", order).where(F.col("order") <= sample_rows).orderBy("lang", "order").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(prepared(r["text"]))
+    languages = sorted(texts, key=lambda x: (-found[x]["n"], x))
+    return Model(languages, [" ".join(texts[x]).encode("utf-8", "surrogatepass") for x in languages])
 
 
 #: What is neither a letter nor a mark: case, digits and signs don't tell languages apart.
@@ -105,27 +86,30 @@ def prepared(text: str) -> str:
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    """Tables and window are sized so that all of the content can be found, however long it is."""
+    size = (len(content) + 4 * BLOCK).bit_length()
+    base = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content))
+    made = zstandard.ZstdCompressionParameters(
+        window_log=max(base.window_log, size), hash_log=max(base.hash_log, size), chain_log=max(base.chain_log, size), search_log=base.search_log,
+        min_match=base.min_match, target_length=base.target_length, strategy=base.strategy, write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(dict_data=data, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+    data.precompute_compress(compression_params=made)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=made)
 
 
 class Classifier:
     def __init__(self, model: Model):
         self.languages = model.languages
-        self.compressors = {level: [_compressor(c, level) for c in model.contents] for level in (LEVEL, *FURTHER_LEVELS)}
-
-    def _sizes(self, blocks: list[str], level: int = LEVEL) -> np.ndarray:
-        data = [f" {b} ".encode("utf-8", "surrogatepass") for b in blocks]
-        return np.array([sum([len(c.compress(b)) for b in data]) for c in self.compressors[level]])
+        self.compressors = [[_compressor(c, level) for level in LEVELS] for c in model.contents]
 
     def sizes(self, text: str) -> np.ndarray | None:
-        """Compressed bytes of the whole text with each dictionary; None without letters."""
+        """Compressed bytes of the whole text with each dictionary, over all levels; None without letters."""
         clean = prepared(text)
         if not clean:
             return None
-        found = self._sizes([clean[i : i + BLOCK] for i in range(0, len(clean), BLOCK)])
-        return found + sum(self._sizes([clean], level) for level in FURTHER_LEVELS) if len(clean) <= SHORT else found
+        data = [f" {clean[i : i + BLOCK]} ".encode("utf-8", "surrogatepass") for i in range(0, len(clean), BLOCK)]
+        return np.array([sum([len(c.compress(b)) for c in own for b in data]) for own in self.compressors])
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is what the best dictionary saves of the size with the second best, 0 to 1.
@@ -147,11 +131,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep_text: boo
 
     Null and empty texts, and texts without a letter, are `und` with score 0 and rejected; so is all where the
     model has no languages. Others get a learned language, and are rejected if the score is under `margin`.
-    Rows, repeats included, stay as they are; an empty table gives none. Columns of `df` with the names made here
-    are an error (ValueError).
+    Rows, repeats included, stay as they are; an empty table gives none. Columns of `df` with the names made here, in whatever
+    case, are an error (ValueError).
     """
     added = ("lang_pred", "lang_score", "lang_rejected")
-    if clash := set(added) & set(df.columns):
+    if clash := set(added) & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} are made here")
     names = [f"c{i}" for i in range(len(df.columns))]
     body = names[df.columns.index(text_col)]
