@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is named."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Where none is named, a local one will do for a local master only; elsewhere that is an error (RuntimeError).
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldline-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 

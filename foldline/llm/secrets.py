@@ -1,14 +1,17 @@
 """Secret scans through an incremental ledger of blobs, in built-in functions only.
 
-A text is a blob, named by its SHA-256. The ledger keeps, in Parquet, which (blob, rule version) pairs
-were scanned and what was found in them. A scan reads the versions it is given, drops pairs that the
-ledger holds, keeps one text of each blob, and searches that; findings are joined back to every path
-by the blob's name. Copies are merged before the shuffle by partial aggregation, and a blob that many
-paths share is only a skewed join key, which adaptive execution splits.
+A text is a blob, named by its SHA-256. A rule version is a name and its rules. The ledger keeps, in Parquet, which (blob, rule
+version) pairs were scanned and what was found in them. A scan hashes the versions it is given, and looks up which pairs the
+ledger lacks before any text moves; where there are none it ends there. It keeps one text of each blob that is left, and
+searches that; findings are joined back to every path by the blob's name. Copies are merged before the shuffle by partial
+aggregation, and a blob that many paths share is only a skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ RULES = (
     ("access", r"", r"AKIA[A-Z0-9]+", 20),
     ("hex", r"", r"[0-9a-f]{24,}", 24),
 )
+Rule = tuple[str, str, str, int]
 RULE_VERSION = "base-1"
+#: Unseen blobs up to which their names are broadcast, so that no other text moves: 64 bytes each.
+FEW = 20_000
 #: Characters that mark spans while a text is cut; in the text itself they are replaced by one of the same length.
 EDGE, MEASURED, STAND_IN = "\ue000", "\ue001", "\ue002"
 FINDING = "array<struct<kind:string,start:long,end:long>>"
@@ -44,19 +50,19 @@ def _cuts(kind: str, head: str, body: str, least: int) -> Column:
     )
 
 
-def scan_blobs(blobs: DataFrame) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(blob, findings) for (blob, text) with unique blobs: the spans in code points, end exclusive.
 
     Within a rule, matches are the leftmost that don't overlap; those whose measured part is too short are
-    dropped after matching. findings is sorted by start, then by the order of RULES. Texts without any have
+    dropped after matching. findings is sorted by start, then by the order of the rules. Texts without any have
     an empty array.
 
     The lengths of a text's pieces are summed in a window over the blob, which costs in proportion to the
     pieces, however many one text has; a text without a match is one row there.
     """
     mapped = blobs.select("blob", F.translate(F.coalesce("text", F.lit("")), EDGE + MEASURED, STAND_IN * 2).alias("body"))
-    cut = mapped.select("blob", *[_cuts(*rule).alias(rule[0]) for rule in RULES])
-    arrays = F.array(*[F.when(F.size(r[0]) > 1, F.col(r[0])) for r in RULES])
+    cut = mapped.select("blob", *[_cuts(*rule).alias(rule[0]) for rule in rules])
+    arrays = F.array(*[F.when(F.size(r[0]) > 1, F.col(r[0])) for r in rules])
     pieces = (
         cut.select("blob", F.explode_outer(F.filter(arrays, lambda a: a.isNotNull())).alias("pieces"))
         .select("blob", F.posexplode_outer("pieces").alias("pos", "piece"))
@@ -64,7 +70,7 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     spans = pieces.withColumn("end", F.sum("len").over(order))
-    rank = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r[0]), F.lit(i))])
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r[0]), F.lit(i))])
     start = (F.col("end") - F.col("len")).alias("start")
     hit = F.when(F.col("hit"), F.struct(start, rank[F.col("kind")].alias("rank"), "kind", "end"))
     return spans.groupBy("blob").agg(
@@ -78,18 +84,26 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 class BlobLedger:
     """(blob, rule_version, findings) of everything scanned, as a Parquet table at `path`.
 
-    `path` is any folder all executors share. A scan appends in one committed write, so one that fails
-    leaves the ledger as it was. Scanning the same versions again searches no text and adds no row.
+    `path` is any folder all executors share. `rules` are (kind, pattern up to the measured part, the measured part, its least
+    characters), kinds differing; a version is its name and a digest of its rules, so other rules under a known name are another version.
+    A scan appends in one committed write, so one that fails leaves the ledger as it was. Scanning the same versions again searches
+    no text, moves none, and adds no row.
     """
 
-    def __init__(self, spark: SparkSession, path: str, rule_version: str = RULE_VERSION):
-        self.spark, self.path, self.rule_version = spark, path, rule_version
+    def __init__(self, spark: SparkSession, path: str, rule_version: str = RULE_VERSION, rules: Sequence[Rule] = RULES):
+        if len({r[0] for r in rules}) < len(rules) or not rules:
+            raise ValueError("rules need kinds that differ, and one at least")
+        self.spark, self.path, self.rules = spark, path, tuple(rules)
+        self.rule_version = f"{rule_version}:{hashlib.sha256(repr(self.rules).encode()).hexdigest()[:12]}"
+
+    def _begun(self) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def entries(self) -> DataFrame:
         """(blob, findings), one row a blob, under this rule version."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         schema = f"blob string, rule_version string, findings {FINDING}"
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        if not self._begun():
             return self.spark.createDataFrame([], schema).select("blob", "findings")
         held = self.spark.read.schema(schema).parquet(self.path)
         return held.where(F.col("rule_version") == self.rule_version).select("blob", "findings")
@@ -100,17 +114,30 @@ class BlobLedger:
         An empty table adds nothing; null texts are the empty blob.
         """
         rows = versions.select(F.col(text_col).cast("string").alias("text")).select(blob_of(F.col("text")).alias("blob"), "text")
+        if self._begun():
+            lacking = rows.select("blob").distinct().join(self.entries().select("blob"), "blob", "left_anti")
+            few = lacking.limit(FEW + 1).count()
+            if not few:
+                return
+            if few <= FEW:
+                rows = rows.join(F.broadcast(lacking), "blob", "left_semi")
         unseen = rows.dropDuplicates(["blob"]).join(self.entries(), "blob", "left_anti")
-        scanned = scan_blobs(unseen).select("blob", F.lit(self.rule_version).alias("rule_version"), "findings")
+        scanned = scan_blobs(unseen, self.rules).select("blob", F.lit(self.rule_version).alias("rule_version"), "findings")
         scanned.write.mode("append").parquet(self.path)
 
     def findings_of(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
-        """`versions` with one more column `secret_spans`: findings of its text, empty if none; null texts have none."""
-        keyed = versions.withColumn("secret_blob", blob_of(F.col(text_col).cast("string")))
+        """`versions` with one more column `secret_spans`: findings of its text, empty if none; null texts have none.
+
+        Columns may have any names but that one (ValueError); rows, repeats included, stay.
+        """
+        if "secret_spans" in [c.lower() for c in versions.columns]:
+            raise ValueError("column secret_spans is made here")
+        # Plain names inside, whatever the columns are called.
+        names = [f"c{i}" for i in range(len(versions.columns))]
+        keyed = versions.toDF(*names).withColumn("blob", blob_of(F.col(names[versions.columns.index(text_col)]).cast("string")))
         found = self.entries().where(F.size("findings") > 0)
-        found = found.select(F.col("blob").alias("secret_blob"), F.col("findings").alias("secret_spans"))
-        joined = keyed.join(found, "secret_blob", "left").drop("secret_blob")
-        return joined.withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(FINDING)))
+        joined = keyed.join(found, "blob", "left").select(*names, F.coalesce("findings", F.array().cast(FINDING)).alias("secret_spans"))
+        return joined.toDF(*versions.columns, "secret_spans")
 
 
 def spans_string(spans: Column) -> Column:
