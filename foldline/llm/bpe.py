@@ -1,18 +1,21 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of the bytes before white space says so, so that passages shared
-by documents give the same chunks wherever they stand. A chunk not met before is cut on into pieces
-before white space. Chunks and pieces are encoded once, and kept in caches of bounded size that live as
-long as an executor's Python worker; the documents themselves never move.
-
-Parts encoded apart are exact only if no token reaches over their join. A join is judged by the
-characters beside it: the first time a combination is met, both sides are re-encoded together, and
-if that differs from the parts put together, such joins are never kept: the parts are merged and encoded as
-one, and the join after them is judged in turn, until all that remain agree.
+by documents give the same chunks wherever they stand. A chunk not met before is encoded once and kept, in a cache bounded in bytes
+that lives as long as its task; the documents themselves never move.
+
+Chunks encoded apart are exact only if no token reaches over their join. So every join is repaired: what stands beside it on both sides,
+up to white space, is re-encoded together, and where that differs from the two parts, the chunks are put together and encoded as one,
+and the join after them is judged in turn, until all that remain agree. An answer is kept for the very same two strings only.
+
+Inside a chunk the tokenizer's own definition may say that no token spans white space (`spans_no_space`). Then a chunk is the sum of its
+pieces, each of them encoded once and kept; else a chunk is encoded whole.
 """
 
 from __future__ import annotations
 
+import ctypes
+import json
 import os
 import re
 import sys
@@ -25,37 +28,85 @@ from pyspark.sql import DataFrame
 
 from .textkit import text_batches, texts_of, with_columns
 
+#: White space as Unicode's property has it, which tokenizers' \\s is. Fixed values.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A piece: white space and what follows it, up to the next white space.
-PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
+PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\\Z")
+LAST_PIECE = re.compile(f"[{SPACE}]*(?:[^{SPACE}]+|[{SPACE}]+)\\Z")
 #: The rolling hash: bytes it looks at, its factor, and the bits that must be 0 at a cut (one white space in 32).
 ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(31 << 20)
-#: Entries of the caches of chunks and pieces in a Python worker.
-CHUNKS, PIECES = 20_000, 500_000
+#: Bytes of the caches of chunks, pieces and joins in a task, about.
+CHUNK_BYTES, PIECE_BYTES, JOIN_BYTES = 16 << 20, 48 << 20, 8 << 20
+#: Strings encoded at once; an encoding is much larger than its string.
+AT_ONCE = 2048
 #: Bytes of output that a task holds at once.
 FLUSH = 8 << 20
 
+#: Parts of tokenizers that act on each character, or on a base and its marks, and join no text to white space. Fixed values.
+LOCAL_NORMALIZERS = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Nmt")
+#: Split patterns none of whose matches has white space behind anything else. Fixed values.
+LOCAL_SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
 Ids = bytes  # as little-endian int32
 
 
+def _members(part: dict | None, key: str) -> list[dict]:
+    if part is None:
+        return []
+    return [x for p in part[key] for x in _members(p, key)] if part["type"] == "Sequence" else [part]
+
+
+def spans_no_space(spec: dict) -> bool:
+    """Whether a tokenizer's definition says that no token holds white space behind anything else, so that a text's ids are those of its pieces.
+
+    True needs: normalizers that act locally (a base and its marks; a run of white space), a pre-tokenizer whose pattern
+    is known not to match across, no added token with white space in it or around it, and no template added to texts.
+    Anything else is False, which costs time only.
+    """
+    for part in _members(spec.get("normalizer"), "normalizers"):
+        runs = part["type"] == "Replace" and part["pattern"] == {"Regex": r"\s+"} and part["content"] == " "
+        if part["type"] not in LOCAL_NORMALIZERS and not runs:
+            return False
+    parts = _members(spec.get("pre_tokenizer"), "pretokenizers")
+    fine = False
+    for part in parts:
+        if part["type"] == "Split" and part["pattern"].get("Regex") in LOCAL_SPLITS and part["behavior"] == "Removed" and part["invert"]:
+            fine = True
+        elif part["type"] == "ByteLevel" and not part["add_prefix_space"]:
+            fine |= part["use_regex"]
+        else:
+            return False
+    for token in spec.get("added_tokens") or []:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(f"[{SPACE}]", token["content"]):
+            return False
+    return fine and spec["model"]["type"] == "BPE"
+
+
 class Recent(dict):
-    """A cache of two generations: beyond `most` entries the older one goes."""
+    """A cache of two generations: beyond half of `most` bytes the older one goes."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most // 2, {}
+        self.most, self.size, self.old = most // 2, 0, {}
 
-    def __missing__(self, key: str) -> Ids:
+    def __missing__(self, key: object) -> object:
         value = self.old[key]  # KeyError: unknown
         self[key] = value
+        self.size += sys.getsizeof(key) + sys.getsizeof(value) + 100
         return value
 
-    def unknown(self, keys: set[str]) -> set[str]:
+    def unknown(self, keys: set) -> set:
         return keys.difference(self, self.old)
 
+    def keep(self, items: dict) -> None:
+        self.update(items)
+        self.size += sum(map(sys.getsizeof, items)) + sum(map(sys.getsizeof, items.values())) + 100 * len(items)
+
     def trim(self) -> None:
-        if len(self) > self.most:
+        if self.size > self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -72,32 +123,29 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.loads(tokenizer_json)
+        self.apart = spans_no_space(spec)
+        del spec
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         # Without a decoder, tokens are joined by a space; with one, only whole texts decode exactly.
         self.plain = self.tokenizer.decoder is None
-        self.name = np.array([self.tokenizer.id_to_token(i) or "" for i in range(max(self.tokenizer.get_vocab().values()) + 1)], object)
-        self.chunks, self.pieces = Recent(CHUNKS), Recent(PIECES)
-        self.safe: set[str] = set()
-        self.unsafe: set[str] = set()
+        self.name: np.ndarray | None = None
+        self.chunks, self.pieces, self.joins = Recent(CHUNK_BYTES), Recent(PIECE_BYTES), Recent(JOIN_BYTES)
 
-    def _encode(self, texts: list[str]) -> list[Ids]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[Ids]:
+        for i in range(0, len(texts), AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False):
+                yield _packed(e.ids)
 
     def decode(self, ids: Ids) -> str:
         found = np.frombuffer(ids, "<i4")
-        return " ".join(self.name[found].tolist()) if self.plain else self.tokenizer.decode(found.tolist(), skip_special_tokens=False)
-
-    def _agrees(self, left: str, right: str) -> bool:
-        context = left[-1:] + right[:2]
-        if context in self.safe:
-            return True
-        if context in self.unsafe:
-            return False
-        a, b, both = self._encode([left, right, left + right])
-        (self.safe if a + b == both else self.unsafe).add(context)
-        return a + b == both
+        if not self.plain:
+            return self.tokenizer.decode(found.tolist(), skip_special_tokens=False)
+        if self.name is None:
+            self.name = np.array([self.tokenizer.id_to_token(i) or "" for i in range(max(self.tokenizer.get_vocab().values()) + 1)], object)
+        return " ".join(self.name[found].tolist())
 
     def _cut(self, text: str) -> list[str]:
         data = text.encode("utf-8", "surrogatepass")
@@ -114,73 +162,66 @@ class ChunkEncoder:
         ends = [*cuts, len(data)]
         return [data[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *cuts], ends, strict=True) if j > i]
 
-    def _judge(self, texts: list[str]) -> bool:
-        """Whether all joins at white space in these texts agree; judges the combinations not met before."""
-        joined = "\0\0".join(["", *texts, ""])
-        at = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        space = (at == 32) | ((at >= 9) & (at <= 13))
-        first = np.flatnonzero(space[1:] & ~space[:-1] & (at[:-1] > 0)) + 1
-        codes, example = np.unique((at[first - 1] << 42) | (at[first] << 21) | at[first + 1], return_index=True)
-        fine = True
-        for i in first[example].tolist():
-            if joined[i - 1 : i + 2] in self.safe or joined[i + 1] == "\0":
-                continue
-            end = PIECE.match(joined, i).end()
-            stop = joined.find("\0", i, end)
-            begin = i
-            while begin > 0 and not space[begin - 1] and at[begin - 1]:
-                begin -= 1
-            fine &= self._agrees(joined[begin:i], joined[i : stop if stop > i else end])
-        return fine
-
-    def _merged(self, parts: list[str]) -> list[str]:
-        """The parts, those beside a join that doesn't agree put together."""
-        out = parts[:1]
-        for part in parts[1:]:
-            if self._agrees(out[-1], part):
-                out.append(part)
-            else:
-                out[-1] += part
+    def _whole(self, texts: list[str]) -> dict[str, Ids]:
+        return dict(zip(texts, self._encode(texts), strict=True))
+
+    def _known(self, chunks: set[str]) -> None:
+        """Encode those of the chunks that aren't kept."""
+        new = self.chunks.unknown(chunks)
+        if not self.apart:
+            self.chunks.keep(self._whole(list(new)))
+            return
+        cut = {c: PIECE.findall(c) for c in new}
+        self.pieces.keep(self._whole(list(self.pieces.unknown(set().union(*cut.values())))))
+        piece = self.pieces
+        self.chunks.keep({c: b"".join([piece[p] for p in ps]) for c, ps in cut.items()})
+
+    def _repaired(self, cut: list[list[str]]) -> list[list[str]]:
+        """The texts' chunks, those beside a join that doesn't agree put together."""
+        sides = [[(LAST_PIECE.search(a)[0], PIECE.match(b)[0]) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cut]
+        new = list(self.joins.unknown({x for pairs in sides for x in pairs}))
+        parts = list({s for x in new for s in (*x, x[0] + x[1])})
+        ids = self._whole(parts)
+        self.joins.keep({(a, b): ids[a] + ids[b] == ids[a + b] for a, b in new})
+        agrees = self.joins
+        out = []
+        for chunks, pairs in zip(cut, sides, strict=True):
+            made = chunks[:1]
+            for chunk, pair in zip(chunks[1:], pairs, strict=True):
+                if agrees[pair]:
+                    made.append(chunk)
+                else:
+                    made[-1] += chunk
+            out.append(made)
         return out
 
     def encode(self, texts: list[str]) -> list[Ids]:
-        merged = (lambda parts: parts) if self._judge(texts) else self._merged
-        cut = [merged(self._cut(t)) for t in texts]
-        pieces = {c: merged(PIECE.findall(c)) for c in self.chunks.unknown(set().union(*cut))}
-        new = list(self.pieces.unknown(set().union(*pieces.values())))
-        for i in range(0, len(new), 4096):
-            self.pieces.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
-        piece, chunk = self.pieces, self.chunks
-        for c, ps in pieces.items():
-            chunk[c] = b"".join([piece[p] for p in ps])
+        cut = self._repaired([self._cut(t) for t in texts])
+        self._known(set().union(*cut))
+        chunk = self.chunks
         out = [b"".join([chunk[c] for c in chunks]) for chunks in cut]
-        self.pieces.trim()
-        self.chunks.trim()
+        for cache in (self.pieces, self.chunks, self.joins):
+            cache.trim()
         return out
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
-
-
-def encoder(tokenizer_json: str) -> ChunkEncoder:
-    """This Python worker's encoder; it keeps the last one only."""
-    key = hash(tokenizer_json)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(tokenizer_json)
-    return _ENCODERS[key]
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker stays when its task is over."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """`df` with n_tokens long, ids array<int> and decoded string, without its text unless `keep_text`.
+def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep_text: bool = False, decode: bool = True) -> DataFrame:
+    """`df` with n_tokens long, ids array<int> and, if `decode`, decoded string, without its text unless `keep_text`.
 
     ids are those of the tokenizer over the whole text without special tokens added; decoded is what it makes of
     them, special tokens kept. Null is as empty: no ids, an empty decoded text. Rows, repeats included, stay as
-    they are; an empty table gives none. A column of `df` that is called n_tokens, ids or decoded must be renamed first
+    they are; an empty table gives none. A column of `df` that is called as one made here, in whatever case, must be renamed first
     (ValueError). The tokenizer's file is read on the driver and broadcast.
     """
-    added = ("n_tokens", "ids", "decoded")
-    if clash := set(added) & set(df.columns):
+    added = ("n_tokens", "ids", "decoded") if decode else ("n_tokens", "ids")
+    if clash := set(added) & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} are made here")
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())
@@ -189,28 +230,34 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ke
     gone = () if keep_text else (body,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own: ChunkEncoder | None = None
 
         def made(rows: pa.RecordBatch) -> pa.RecordBatch:
             parts = own.encode([t or "" for t in texts_of(rows, body)])
             counts = np.array([len(ids) // 4 for ids in parts], np.int64)
             offsets = np.concatenate([[0], counts.cumsum()]).astype(np.int32)
             values = np.frombuffer(b"".join(parts), "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            decoded = pa.array(map(own.decode, parts), pa.string())
-            return with_columns(rows, {"n_tokens": pa.array(counts), "ids": lists, "decoded": decoded}, gone)
-
-        for batch in batches:
-            first, size = 0, 0
-            for i, text in enumerate(batch.column(batch.schema.get_field_index(body))):
-                size += 4 * (text.as_buffer().size if text.is_valid else 0)
-                if size >= FLUSH:
-                    yield made(batch.slice(first, i + 1 - first))
-                    first, size = i + 1, 0
-            if first < batch.num_rows:
-                yield made(batch.slice(first))
+            columns = {"n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+            if decode:
+                columns["decoded"] = pa.array(map(own.decode, parts), pa.string())
+            return with_columns(rows, columns, gone)
+
+        try:
+            for batch in batches:
+                own = own or ChunkEncoder(shared.value)
+                first, size = 0, 0
+                for i, text in enumerate(batch.column(batch.schema.get_field_index(body))):
+                    size += 4 * (text.as_buffer().size if text.is_valid else 0)
+                    if size >= FLUSH:
+                        yield made(batch.slice(first, i + 1 - first))
+                        first, size = i + 1, 0
+                if first < batch.num_rows:
+                    yield made(batch.slice(first))
+        finally:
+            own = None
+            _give_back()
 
     fields = [f"{n} {t}" for n, (_, t) in zip(names, df.dtypes, strict=True) if n not in gone]
-    schema = ", ".join([*fields, "n_tokens long", "ids array<int>", "decoded string"])
+    schema = ", ".join([*fields, "n_tokens long", "ids array<int>", *["decoded string"] * decode])
     out = text_batches(df).toDF(*names).mapInArrow(run, schema)
     return out.toDF(*[c for n, c in zip(names, df.columns, strict=True) if n not in gone], *added)
