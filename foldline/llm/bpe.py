@@ -33,10 +33,12 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A piece: white space and what follows it, up to the next white space.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\\Z")
 LAST_PIECE = re.compile(f"[{SPACE}]*(?:[^{SPACE}]+|[{SPACE}]+)\\Z")
-#: The rolling hash: bytes it looks at, its factor, and the bits that must be 0 at a cut (one white space in 32).
-ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(31 << 20)
+#: The rolling hash: bytes it looks at, its factor, and the bits that must be 0 at a cut (one white space in 64).
+ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(63 << 20)
 #: Bytes of the caches of chunks, pieces and joins in a task, about.
-CHUNK_BYTES, PIECE_BYTES, JOIN_BYTES = 16 << 20, 48 << 20, 8 << 20
+CHUNK_BYTES, PIECE_BYTES, JOIN_BYTES = 16 << 20, 64 << 20, 8 << 20
+#: Characters of a chunk's end in which its last piece is looked for first.
+TAIL = 48
 #: Strings encoded at once; an encoding is much larger than its string.
 AT_ONCE = 2048
 #: Bytes of output that a task holds at once.
@@ -82,6 +84,12 @@ def spans_no_space(spec: dict) -> bool:
     return fine and spec["model"]["type"] == "BPE"
 
 
+def _last_piece(chunk: str) -> str:
+    found = LAST_PIECE.search(chunk[-TAIL:])
+    # One that fills all of the end may begin before it.
+    return found[0] if found.start() or len(chunk) <= TAIL else LAST_PIECE.search(chunk)[0]
+
+
 class Recent(dict):
     """A cache of two generations: beyond half of `most` bytes the older one goes."""
 
@@ -172,17 +180,23 @@ class ChunkEncoder:
             self.chunks.keep(self._whole(list(new)))
             return
         cut = {c: PIECE.findall(c) for c in new}
-        self.pieces.keep(self._whole(list(self.pieces.unknown(set().union(*cut.values())))))
+        self._pieces(set().union(*cut.values()))
         piece = self.pieces
         self.chunks.keep({c: b"".join([piece[p] for p in ps]) for c, ps in cut.items()})
 
+    def _pieces(self, wanted: set[str]) -> None:
+        """Encode those of the pieces that aren't kept."""
+        new = list(self.pieces.unknown(wanted))
+        if new:
+            self.pieces.keep(self._whole(new))
+
     def _repaired(self, cut: list[list[str]]) -> list[list[str]]:
         """The texts' chunks, those beside a join that doesn't agree put together."""
-        sides = [[(LAST_PIECE.search(a)[0], PIECE.match(b)[0]) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cut]
+        sides = [[(_last_piece(a), PIECE.match(b)[0]) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cut]
         new = list(self.joins.unknown({x for pairs in sides for x in pairs}))
-        parts = list({s for x in new for s in (*x, x[0] + x[1])})
-        ids = self._whole(parts)
-        self.joins.keep({(a, b): ids[a] + ids[b] == ids[a + b] for a, b in new})
+        self._pieces({s for x in new for s in x})
+        piece, both = self.pieces, self._encode([a + b for a, b in new])
+        self.joins.keep({x: piece[x[0]] + piece[x[1]] == ids for x, ids in zip(new, both, strict=True)})
         agrees = self.joins
         out = []
         for chunks, pairs in zip(cut, sides, strict=True):
