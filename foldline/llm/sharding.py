@@ -7,6 +7,8 @@ nowhere else, in proportion to its weight.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def assign_shards(
 ) -> DataFrame:
     """One row for each row of `df`: (key, size, text_crc32, law, shard, slot, grown_shard).
 
-    `weights` maps each shard to its weight, `grown` likewise after shards are added (null: no such column
-    value). size is the UTF-8 bytes of the text plus 1, null texts having none (and CRC 0). slot numbers a
+    `weights` maps each shard to its weight, a finite number over 0, `grown` likewise after shards are added (null: no such column
+    value); no shards, or another weight, are an error (ValueError). size is the UTF-8 bytes of the text plus 1, null texts having none (and CRC 0). slot numbers a
     shard's rows from 0 without gaps, by key digest, key, CRC and size; equal rows in any order. The key
     alone decides the shard: null keys hash as one key of their own, repeated keys share a shard. An empty
     table gives no rows.
@@ -45,6 +47,9 @@ def assign_shards(
     (16**BUCKET_DIGITS of them, by leading digits of the key's digest), then a bucket's offset is added, which
     comes from one count a bucket; that table has at most shards x 16**BUCKET_DIGITS rows and is broadcast.
     """
+    for given in (weights, *([grown] if grown is not None else [])):
+        if not given or not all(math.isfinite(w) and w > 0 for w in given.values()):
+            raise ValueError(f"weights must be finite and over 0, of one shard at least: {given}")
     key = F.coalesce(F.col("key").cast("string"), F.lit("null"))
     rows = df.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("body")).select(
         "key",

@@ -549,6 +549,11 @@ def test_sharding_by_weight_and_of_awkward_rows(spark, awkward):
     share = sharding.assign_shards(many, {0: 1.0, 1: 3.0}).where("shard = 1").count() / 20_000
     assert abs(share - 0.75) < 0.02
     assert sharding.assign_shards(awkward.limit(0), {0: 1.0}).count() == 0
+    for wrong in ({}, {0: 0.0}, {0: 1.0, 1: -1.0}, {0: float("nan")}, {0: float("inf")}):
+        with pytest.raises(ValueError, match="weights"):
+            sharding.assign_shards(awkward, wrong)
+        with pytest.raises(ValueError, match="weights"):
+            sharding.assign_shards(awkward, {0: 1.0}, wrong)
 
 
 # ---- 7 BPE
