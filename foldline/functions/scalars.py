@@ -40,6 +40,22 @@ def number(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit("")).try_cast("double")
 
 
+def general(x: Column) -> Column:
+    """A double with six significant digits, without zeros behind: fixed for exponents from -4 to 5, else with an exponent of two digits or more."""
+    shown = F.format_string("%.5e", x)
+    digits = F.regexp_replace(F.regexp_extract(shown, r"^-?(\d)\.(\d+)e", 0), r"[-.e]", "")
+    power = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int")
+    kept = F.regexp_replace(digits, "0+$", "")
+    whole = F.when(power >= 0, F.rpad(F.substring(kept, F.lit(1), power + 1), power + 1, F.lit("0"))).otherwise(F.lit("0"))
+    behind = F.when(power >= 0, F.substring(kept, power + 2, F.lit(6))).otherwise(F.concat(F.repeat(F.lit("0"), -power - 1), kept))
+    fixed = F.concat(whole, F.when(behind != "", F.concat(F.lit("."), behind)).otherwise(F.lit("")))
+    short = F.concat(F.substring(kept, 1, 1), F.when(F.char_length(kept) > 1, F.concat(F.lit("."), F.substring(kept, 2, 6))).otherwise(F.lit("")))
+    sign = F.when(power >= 0, F.lit("+")).otherwise(F.lit("-"))
+    scientific = F.concat(short, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    body = F.when((power >= -4) & (power < 6), fixed).otherwise(scientific)
+    return F.when(x == 0, F.lit("0")).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body))
+
+
 def opaque_id(prefix: str, salt: str, sep: str, key: Column) -> Column:
     """prefix and the first 12 hex digits of SHA-256 over salt, separator and key."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.lit(salt + sep), key).cast("binary"), 256), 1, 12))

@@ -79,41 +79,36 @@ def answer_status(raw: Column, text: Column, ended: Column, axes: Sequence[str])
     return F.when(F.coalesce(fine, F.lit(False)), "valid").otherwise("invalid_output")
 
 
-def _unique(pairs: list[tuple]) -> dict:
-    found = dict(pairs)
-    if len(found) != len(pairs):
-        raise ValueError("a key twice")
-    return found
+#: Pieces of JSON: white space, a string, and the whole numbers that an axis may have. Fixed values.
+JSON_SPACE = r"[ \t\n\r]*+"
+JSON_STRING = r'"((?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)"'
+MEMBER = rf"{JSON_STRING}{JSON_SPACE}:{JSON_SPACE}(-?[01])(?![0-9.eE])"
+ANSWER = rf"^\{{{JSON_SPACE}(?:{MEMBER}{JSON_SPACE}(?:,{JSON_SPACE}(?=\")|(?=\}})))*+(?<!,)\}}"
+#: White space of texts: Unicode's, and the four separators below it. A fixed value.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def first_object(raw: str | None, axes: Sequence[str]) -> tuple[dict, bool] | None:
-    """The JSON object at the first brace, if it gives each axis -1, 0 or 1 as a whole number and nothing else.
+def first_object(raw: Column, axes: Sequence[str]) -> Column:
+    """struct(axes as ints, strict boolean) of the answer in a text, null if there is none.
 
-    With it, whether only white space stands around it. Never a later object; None otherwise.
+    The answer is the JSON object that begins at the first brace, never a later one. It must name each axis once, whatever way its name is escaped,
+    and nothing else, with a whole number of -1, 0 or 1 (true, 1.0 and "1" aren't). strict: only white space stands around it.
     """
-    at = (raw or "").find("{")
-    if at < 0:
-        return None
-    try:
-        found, end = json.JSONDecoder(object_pairs_hook=_unique).raw_decode(raw[at:])
-    except (ValueError, RecursionError):
-        return None
-    if set(found) != set(axes) or any(type(v) is not int or v not in (-1, 0, 1) for v in found.values()):
-        return None
-    return found, not raw[:at].strip() and not raw[at + end :].strip()
+    begin = F.instr(raw, "{")
+    tail = F.when(begin > 0, F.substring(raw, begin, F.char_length(raw)))
+    body = F.regexp_extract(tail, ANSWER, 0)
+    names = F.transform(F.regexp_extract_all(body, F.lit(MEMBER), F.lit(1)), lambda n: F.get(F.from_json(F.concat(F.lit('["'), n, F.lit('"]')), "array<string>"), F.lit(0)))
+    values = F.transform(F.regexp_extract_all(body, F.lit(MEMBER), F.lit(2)), lambda v: v.cast("int"))
+    fine = (body != "") & F.array_sort(names).eqNullSafe(F.lit(sorted(axes)))
+    around = F.concat(F.substring(raw, 1, begin - 1), F.substring(tail, F.char_length(body) + 1, F.char_length(tail)))
+    found = [F.get(values, F.array_position(names, a).cast("int") - 1).alias(a) for a in axes]
+    return F.when(F.coalesce(fine, F.lit(False)), F.struct(*found, (F.regexp_replace(around, BLANK, "") == "").alias("strict")))
 
 
 def parse_first_objects(df: DataFrame, column: str, axes: Sequence[str]) -> DataFrame:
-    """`df` with one int column for each axis, and strict: all null where there is no valid first object. Needs Python for brace matching."""
-    kind = "struct<" + ",".join(f"{a}:int" for a in axes) + ",strict:boolean>"
-
-    @F.pandas_udf(kind)
-    def parse(raw: pd.Series) -> pd.DataFrame:
-        found = [first_object(r, axes) for r in raw]
-        out = {a: pd.array([f[0][a] if f else None for f in found], "Int32") for a in axes}
-        return pd.DataFrame(out | {"strict": pd.array([f[1] if f else None for f in found], "boolean")})
-
-    return df.withColumn("_p", parse(column)).select(*df.columns, *[F.col("_p")[a].alias(a) for a in axes], F.col("_p")["strict"].alias("strict"))
+    """`df` with one int column for each axis, and strict: all null where there is no valid first object. Other columns stay, in their order."""
+    parsed = df.withColumn("_p", first_object(F.col(column), axes))
+    return parsed.select(*df.columns, *[F.col("_p")[a].alias(a) for a in axes], F.col("_p")["strict"].alias("strict"))
 
 
 def canonical(value: object) -> str:
@@ -121,19 +116,27 @@ def canonical(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False) + "\n"
 
 
-def envelope_errors(df: DataFrame, column: str = "raw") -> DataFrame:
-    """`df` with error: null for an envelope {task, identity, sha, data} whose sha is that of data as canonical JSON."""
+def envelope_errors(df: DataFrame, column: str = "raw", task: str | None = None) -> DataFrame:
+    """`df` with error: null for an envelope {task, identity, sha, data} whose sha is that of data as canonical JSON, and, if `task` names a column, whose task is that."""
+
+    def one(text: str | None, expected: str | None) -> str | None:
+        try:
+            found = json.loads(text or "")
+            given = hashlib.sha256(canonical(found["data"]).encode()).hexdigest()
+            if found["sha"] != given:
+                return "sha differs"
+            return None if task is None or found["task"] == expected else "task differs"
+        except (ValueError, KeyError, TypeError):
+            return "not an envelope"
 
     @F.pandas_udf("string")
-    def check(raw: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                found = json.loads(text or "")
-                digest = hashlib.sha256(canonical(found["data"]).encode()).hexdigest()
-                return None if found["sha"] == digest else "sha differs"
-            except (ValueError, KeyError, TypeError):
-                return "not an envelope"
-
-        return raw.map(one)
-
-    return df.withColumn("error", check(column))
+    def check(raw: pd.Series, expected: pd.Series) -> pd.Series:
+        return pd.Series([one(r, e) for r, e in zip(raw, expected, strict=True)], dtype=object)
+
+    return df.withColumn("error", check(F.col(column), F.col(task) if task else F.lit(None).cast("string")))
+
+
+def stored_hash_errors(df: DataFrame, text: str, stored: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, computed, stored) of rows whose stored SHA-256 isn't that of their text; a null on one side is a difference."""
+    computed = F.sha2(F.col(text).cast("binary"), 256)
+    return df.where(~computed.eqNullSafe(F.col(stored))).select(*keys, computed.alias("computed"), F.col(stored).alias("stored"))
