@@ -26,6 +26,20 @@ def training_pairs(folds: DataFrame, data: DataFrame, series: str = "series") ->
     return at.join(past, known).select(series, "fold", "i", "j")
 
 
+def entry_folds(folds: DataFrame, data: DataFrame, series: str = "series") -> DataFrame:
+    """(series, j, entry, last): the first fold that may learn from row j, and the series' last fold, which then all others up to it may, too.
+
+    Training sets only grow, so this says all that `training_pairs` says, in one row for each row of `data`. Both ends come from one order by
+    time: a row enters at the next question at or after its target's publication. It needs targets published after their origin (`leakage` checks it).
+    """
+    ins = data.where("target_pub IS NOT NULL").select(series, F.col("target_pub").alias("_t"), F.lit(0).alias("_ask"), F.col("i").alias("j"), F.lit(None).cast("long").alias("fold"))
+    asks = folds.select(series, F.col("bucket").alias("_t"), F.lit(1).alias("_ask"), F.lit(None).cast("long").alias("j"), "fold")
+    order = Window.partitionBy(series).orderBy("_t", "_ask")
+    entry = F.min("fold").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = ins.unionByName(asks).select(series, "j", entry.alias("entry"), F.max("fold").over(Window.partitionBy(series)).alias("last"))
+    return placed.where("j IS NOT NULL AND entry IS NOT NULL")
+
+
 def expanding_sums(folds: DataFrame, data: DataFrame, sums: dict[str, Column], series: str = "series") -> DataFrame:
     """(series, fold, i, bucket, n, *sums) over each fold's training rows, without making the pairs.
 

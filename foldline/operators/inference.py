@@ -46,6 +46,21 @@ def discordance(pairs: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
     return counts.withColumn("p_value", mcnemar_exact(F.col("b"), F.col("c")))
 
 
+def direct_contrast(predictions: DataFrame, first: str, second: str, draws: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """(keys, metric, difference, low, high, b, c, p_value): any two arms, `first` less `second`, with resampled intervals and the exact test.
+
+    `predictions` are positioned (idx); b counts the origins that only `second` got right, c those that only `first` did.
+    """
+    two = predictions.where(F.col("arm").isin(first, second))
+    names = ("macro_f1", "mae_bp")
+    whole = metrics.arm_metrics(two, (*keys, "arm"))
+    sign = F.when(F.col("arm") == first, 1.0).otherwise(-1.0)
+    full = whole.groupBy(*keys).agg(*[F.sum(sign * F.col(n)).alias(n) for n in names])
+    full = full.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("difference")) for n in names])))
+    bounds = contrasts(resampled_metrics(two, draws, keys), second, keys, names).drop("arm")
+    return full.join(bounds, [*keys, "metric"]).join(discordance(paired(two, second), keys), list(keys))
+
+
 def holm(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """`df` with holm_p, p-values adjusted within each family `by`, and reject at `level`. Ties get the same value.
 
@@ -72,12 +87,20 @@ def arithmetic_draws(sizes: DataFrame, replicates: int, block: int, series: str
     return drawn.groupBy(series, "rep", "idx").agg(F.count("*").alias("times"))
 
 
+#: Starts that `random_draws` makes on the driver, at most.
+DRIVER_STARTS = 10_000_000
+
+
 def random_draws(spark: SparkSession, n: int, replicates: int, block: int, seed: int) -> DataFrame:
     """(rep, idx, times) of circular blocks with uniform starts from PCG64: the same for every arm.
 
-    Starts are drawn on the driver in one go (replicates x ceil(n / block) numbers, which don't depend on data) and expanded by Spark.
+    The generator is sequential, so the replicates x ceil(n / block) starts are drawn on the driver in one go and expanded by Spark; over
+    DRIVER_STARTS of them are an error (ValueError): `hashed_draws` has no such bound.
     """
-    starts = np.random.default_rng(seed).integers(0, n, size=(replicates, -(-n // block)))
+    blocks = -(-n // block)
+    if replicates * blocks > DRIVER_STARTS:
+        raise ValueError(f"{replicates} x {blocks} starts are too many for the driver; use hashed_draws")
+    starts = np.random.default_rng(seed).integers(0, n, size=(replicates, blocks))
     rows = spark.createDataFrame([(r, s) for r, s in enumerate(starts.tolist())], "rep int, starts array<long>")
     pos = rows.select("rep", "starts", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
     block_no = (F.floor(F.col("pos") / block) + 1).cast("int")
@@ -85,6 +108,23 @@ def random_draws(spark: SparkSession, n: int, replicates: int, block: int, seed:
     return pos.select("rep", idx.cast("long").alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("times"))
 
 
+def hashed_draws(sizes: DataFrame, replicates: int, block: int, seed: int, series: str = "series") -> DataFrame:
+    """(series, rep, idx, times) of circular blocks whose starts come from a counter: the first 13 hex digits of MD5 over "seed:rep:block", mod n.
+
+    Any task can make any block, so nothing is drawn on the driver, and all arms of a series share the draws. `sizes` is (series, n), n over 0. A
+    start's odds differ from 1 / n by n / 2^52 at most. Positions drawn more than once are counted here.
+    """
+    reps = sizes.where("n > 0").select(series, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    last = F.ceil(F.col("n") / block).cast("int") - 1
+    blocks = reps.select(series, "n", "rep", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("block").cast("string")))
+    start = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % F.col("n")
+    length = F.least(F.lit(block).cast("long"), F.col("n") - F.col("block").cast("long") * block)
+    drawn = blocks.select(series, "n", "rep", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("k"))
+    idx = (F.col("start") + F.col("k")) % F.col("n")
+    return drawn.groupBy(series, "rep", idx.cast("long").alias("idx")).agg(F.count("*").alias("times"))
+
+
 def resampled_metrics(positioned: DataFrame, draws: DataFrame, keys: Sequence[str], by: Sequence[str] = ("arm",)) -> DataFrame:
     """(keys, rep, by, macro_f1, mae_bp, brier, log_loss) of each replicate; `positioned` rows have idx beside their metrics' columns."""
     truth, probabilities = F.col("true_class"), [F.col(f"p_{c}") for c in metrics.CLASSES]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.classes import CLASSES, class_index
@@ -79,19 +79,32 @@ def confusion_table(predictions: DataFrame, by: Sequence[str] = ("arm",)) -> Dat
 
 
 def leave_one_out(predictions: DataFrame, by: Sequence[str] = ("arm",), key: str = "i") -> DataFrame:
-    """(by, key, macro_f1_without, mae_without): metrics with each row left out, from group totals less the row's own part."""
+    """(by, key, macro_f1, mae_bp, macro_f1_without, mae_without): metrics of the group, and with each row left out.
+
+    A group's totals are one aggregate, joined back to its rows, from which each row's own part is taken: no task holds a group.
+    """
     truth, predicted = F.col("true_class"), F.col("predicted_class")
-    group = Window.partitionBy(*by)
     error = F.abs(F.col("true_bp") - F.col("predicted_bp"))
-    cols = {}
+    own = {}
     for c in CLASSES:
-        t, p = (truth == c).cast("int"), (predicted == c).cast("int")
-        cols[f"tp_{c}"] = F.sum(t * p).over(group) - t * p
-        cols[f"true_{c}"] = F.sum(t).over(group) - t
-        cols[f"pred_{c}"] = F.sum(p).over(group) - p
-    rest = (F.sum(error).over(group) - error) / (F.count("*").over(group) - 1)
-    return predictions.select("*", *[v.alias(k) for k, v in cols.items()], rest.alias("mae_without")).select(
-        *by, key, macro_f1().alias("macro_f1_without"), "mae_without"
+        own |= {f"tp_{c}": (truth == c) & (predicted == c), f"true_{c}": truth == c, f"pred_{c}": predicted == c}
+    own = {n: v.cast("long") for n, v in own.items()}
+    totals = predictions.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(error).alias("_e"), *[F.sum(v).alias(f"_{n}") for n, v in own.items()])
+    rows = predictions.join(totals, list(by)).withColumn("_own_e", error)
+    whole = rows.withColumns({n: F.col(f"_{n}") for n in own}).withColumn("macro_f1", macro_f1())
+    rest = whole.withColumns({n: F.col(f"_{n}") - v for n, v in own.items()})
+    return rest.select(
+        *by, key, "macro_f1", (F.col("_e") / F.col("_n")).alias("mae_bp"),
+        macro_f1().alias("macro_f1_without"), ((F.col("_e") - F.col("_own_e")) / (F.col("_n") - 1)).alias("mae_without"),
+    )
+
+
+def influence(left_out: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
+    """(by, metric, full, low, high, max_abs_change) over a group's rows: how far a metric moves from the full sample when one is left out."""
+    pairs = [("macro_f1", "macro_f1_without"), ("mae_bp", "mae_without")]
+    long = left_out.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("full"), F.col(w).alias("x")) for n, w in pairs])))
+    return long.groupBy(*by, "metric").agg(
+        F.max("full").alias("full"), F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.abs(F.col("x") - F.col("full"))).alias("max_abs_change")
     )
 
 
@@ -139,6 +152,17 @@ def kappa(rows: DataFrame, by: Sequence[str], first: str, second: str) -> DataFr
     )
 
 
+def agreement(rows: DataFrame, by: Sequence[str], first: str, second: str) -> DataFrame:
+    """(by, documents, paired_n, agree, disagree, and each rater's counts of -1, 0 and 1 among pairs): the table beside `kappa`."""
+    a, b = F.col(first), F.col(second)
+    both = a.isNotNull() & b.isNotNull()
+    names = {-1: "negative", 0: "neutral", 1: "positive"}
+    margins = [F.count_if(both & (c == v)).alias(f"{side}_{n}") for side, c in (("first", a), ("second", b)) for v, n in names.items()]
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("documents"), F.count_if(both).alias("paired_n"), F.count_if(both & (a == b)).alias("agree"), F.count_if(both & (a != b)).alias("disagree"), *margins
+    )
+
+
 def masked_scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Macro-F1 and accuracy of several runs on several axes against references of which some are missing.
 

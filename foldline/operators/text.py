@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,16 @@ from foldline.functions.scalars import words
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, token, tf) of every document."""
-    return docs.select(key, F.explode(words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """(key, token, tf) of every row, whose keys are unique; null and empty texts give none.
+
+    A row's words are sorted and counted by runs inside the row, so nothing is shuffled.
+    """
+    sorted_ = docs.select(F.col(key), F.sort_array(words(F.col(text))).alias("_w"))
+    at = F.sequence(F.lit(0), F.size("_w") - 1)
+    first = F.filter(at, lambda k: (k == 0) | (F.get("_w", k) != F.get("_w", k - 1)))
+    runs = sorted_.where(F.size("_w") > 0).select(key, "_w", first.alias("_f"))
+    ends = F.transform("_f", lambda a, k: F.struct(F.get("_w", a).alias("token"), (F.coalesce(F.get("_f", k + 1), F.size("_w")) - a).cast("long").alias("tf")))
+    return runs.select(key, F.inline(ends))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -18,25 +28,45 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def fold_vocabulary(counts: DataFrame, train: DataFrame, min_df: int, max_features: int, key: str = "doc_id") -> DataFrame:
-    """(fold, token, df, rank): the most frequent tokens of each fold's training documents, ties by token.
+def expanding_frequency(counts: DataFrame, entries: DataFrame, min_df: int, series: str = "series") -> DataFrame:
+    """(series, fold, token, df) of each fold's training origins, where df is `min_df` at least.
 
-    `train` is (fold, key). Frequencies are aggregated before the ranking, whose window holds a fold's distinct tokens.
+    `counts` is (series, j, token), unique, and `entries` as `folds.entry_folds` gives them. Frequencies only grow from fold to fold, so they are running
+    sums over the folds at which origins enter, each of which holds until the next; training sets are never written out.
     """
-    df = train.join(counts.select(key, "token"), key).groupBy("fold", "token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("df"), "token"))
-    return df.withColumn("rank", rank).where(F.col("rank") <= max_features)
+    steps = counts.join(entries, [series, "j"]).groupBy(series, "token", "entry").agg(F.count("*").alias("n"), F.max("last").alias("last"))
+    order = Window.partitionBy(series, "token").orderBy("entry")
+    held = steps.select(
+        series, "token", "entry", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("df"), F.coalesce(F.lead("entry").over(order) - 1, F.col("last")).alias("until")
+    )
+    return held.where(F.col("df") >= min_df).select(series, F.explode(F.sequence("entry", "until")).alias("fold"), "token", "df")
+
+
+def top_tokens(frequency: DataFrame, most: int, by: Sequence[str] = ("fold",)) -> DataFrame:
+    """(by, token, df, rank): the `most` tokens of largest df of each group, ties by token."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("df"), "token"))
+    return frequency.select(*by, "token", "df").withColumn("rank", rank).where(F.col("rank") <= most)
+
 
+def fold_vocabulary(counts: DataFrame, train: DataFrame, min_df: int, max_features: int, key: str = "doc_id", by: Sequence[str] = ("fold",)) -> DataFrame:
+    """(by, token, df, rank): the most frequent tokens of each fold's training documents, ties by token.
 
-def tfidf(counts: DataFrame, train: DataFrame, query: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(fold, key, is_query, token, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1."""
-    sizes = train.groupBy("fold").agg(F.count("*").alias("n"))
-    rows = train.select("fold", key, F.lit(False).alias("is_query")).unionByName(query.select("fold", key, F.lit(True).alias("is_query")))
-    cells = rows.join(counts, key).join(vocabulary.select("fold", "token", "df"), ["fold", "token"]).join(F.broadcast(sizes), "fold")
+    `train` is (by, key). Frequencies are aggregated before the ranking, whose window holds a fold's distinct tokens.
+    """
+    df = train.join(counts.select(key, "token"), key).groupBy(*by, "token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    return top_tokens(df, max_features, by)
+
+
+def tfidf(counts: DataFrame, sizes: DataFrame, rows: DataFrame, vocabulary: DataFrame, keys: Sequence[str] = ("doc_id",), by: Sequence[str] = ("fold",)) -> DataFrame:
+    """(rows' columns, token, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each row of `rows` scaled to length 1.
+
+    `rows` is (by, keys, ...), unique; `counts` (keys, token, tf); `sizes` (by, n) of each fold's training set; `vocabulary` (by, token, df).
+    """
+    cells = rows.join(counts, list(keys)).join(vocabulary.select(*by, "token", "df"), [*by, "token"]).join(sizes, list(by))
     idf = F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     cells = cells.withColumn("raw", (1.0 + F.ln(F.col("tf").cast("double"))) * idf)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("fold", key, "is_query")))
-    return cells.select("fold", key, "is_query", "token", (F.col("raw") / F.greatest(norm, F.lit(1e-15))).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*rows.columns)))
+    return cells.select(*rows.columns, "token", (F.col("raw") / F.greatest(norm, F.lit(1e-15))).alias("weight"))
 
 
 def hash_buckets(docs: DataFrame, dimension: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
