@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.functions import classes, scalars
-from foldline.operators import features, folds, inference, metrics, models, selection, series, text, validate
-from foldline.plans import tables
-from foldline.plans.oracles import ORACLES  # noqa: F401
+from foldline.operators import features, folds, inference, metrics, selection, series, text, validate
+from foldline.plans import arms, audits, oracles, oracles_arms, oracles_audits, tables  # noqa: F401
+from foldline.plans.registry import DECIMALS, QUERIES, Query, query, rounded  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.ORACLES | oracles_arms.ORACLES | oracles_audits.ORACLES
 
-#: Decimals that results of sums over doubles are rounded to: their last digits depend on the order of rows.
-DECIMALS = 9
 PERIODS = (("early", 0, 78_920), ("middle", 78_900, 78_940), ("late", 78_941, 79_100), ("all", 0, 10**9))
 AXES = ("first", "second")
-MIN_DF, MAX_FEATURES = 3, 50
 LAMBDAS = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, DECIMALS) for n in names})
-
-
 # ---- series and folds
 
 
@@ -99,45 +85,6 @@ def fold_scaled_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made.where("column <> 'change_now' OR mean IS NOT NULL"), "mean", "sd", "query")
 
 
-def scored_data(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(data, folds, pairs) of one series with the axis scores of its statements."""
-    data = tables.observed(spark, sf).where(F.col("series") == tables.ONE_SERIES)
-    scores = tables.axis_labels(spark, sf).select(F.col("doc_id").alias("i"), *AXES)
-    data = data.join(scores, "i", "left")
-    at = tables.folds(data)
-    return data, at, folds.training_pairs(at, data)
-
-
-def scored_panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(data, folds, pairs) of every series with the mean axis scores of its origins' documents, all documents dealt out."""
-    data = tables.observed(spark, sf)
-    dealt = tables.dealt_documents(spark, sf, data)
-    scores = tables.axis_labels(spark, sf).join(dealt, "doc_id").groupBy("series", "i").agg(*[F.avg(a).alias(a) for a in AXES])
-    data = data.join(scores, ["series", "i"], "left")
-    at = tables.folds(data)
-    return data, at, folds.training_pairs(at, data)
-
-
-@query
-def fold_imputed_scores(spark: SparkSession, sf: str) -> DataFrame:
-    data, at, pairs = scored_data(spark, sf)
-    return rounded(features.imputed(pairs, at, data, AXES).where("is_query"), "value").drop("is_query")
-
-
-@query
-def missing_only(spark: SparkSession, sf: str) -> DataFrame:
-    data, at, pairs = scored_data(spark, sf)
-    return rounded(features.missing_only(pairs, at, data, AXES).where("is_query"), "value").drop("is_query")
-
-
-@query
-def design_rows(spark: SparkSession, sf: str) -> DataFrame:
-    data, at, pairs = scored_data(spark, sf)
-    rows = features.imputed(pairs, at, data, AXES)
-    made = features.designs(rows, ARMS)
-    return made.groupBy("series", "fold", "arm").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"))
-
-
 # ---- text
 
 
@@ -151,41 +98,6 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return text.document_frequency(text.token_counts(tables.statements(spark, sf)))
 
 
-def fold_text(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    train, asked = tables.text_folds(spark, sf)
-    origins = train.select("doc_id").union(asked.select("doc_id")).distinct()
-    counts = text.token_counts(tables.statements(spark, sf).join(F.broadcast(origins), "doc_id", "left_semi"))  # one series' origins: 120 rows
-    return train, asked, counts, text.fold_vocabulary(counts, train, MIN_DF, MAX_FEATURES)
-
-
-@query
-def fold_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return fold_text(spark, sf)[3]
-
-
-@query
-def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    train, asked, counts, vocabulary = fold_text(spark, sf)
-    return rounded(text.tfidf(counts, train, asked, vocabulary).where("is_query"), "weight").drop("is_query")
-
-
-@query
-def lsa_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Projections of every series' origins, whose text is that of all documents dealt to them."""
-    data = tables.observed(spark, sf)
-    at = tables.folds(data)
-    # The operators know one key of folds and one of texts: both hold the series too.
-    key = lambda c: F.to_json(F.struct("series", c))
-    train = folds.training_pairs(at, data).select(key("fold").alias("fold"), key(F.col("j").alias("i")).alias("origin"))
-    asked = at.select(key("fold").alias("fold"), key("i").alias("origin"))
-    tokens = text.token_counts(tables.statements(spark, sf)).join(tables.dealt_documents(spark, sf, data), "doc_id")
-    counts = tokens.groupBy(key("i").alias("origin"), "token").agg(F.sum("tf").alias("tf"))
-    vocabulary = text.fold_vocabulary(counts, train, MIN_DF, MAX_FEATURES, "origin")
-    made = models.lsa_projection(text.tfidf(counts, train, asked, vocabulary, "origin"), 8, "origin")
-    named = made.select(F.from_json("fold", "series string, fold long").alias("f"), F.from_json("origin", "series string, i long").alias("o"), "is_query", "features")
-    return named.select("f.series", "f.fold", "o.i", "is_query", "features")
-
-
 @query
 def hash_embedding_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(text.hash_buckets(tables.statements(spark, sf)), "value")
@@ -239,7 +151,7 @@ def subperiod_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def loo_influence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = metrics.leave_one_out(tables.predictions(spark, sf), ("series", "arm"))
+    rows = metrics.leave_one_out(tables.predictions(spark, sf), ("series", "arm")).select("series", "arm", "i", "macro_f1_without", "mae_without")
     return rounded(rows, "macro_f1_without", "mae_without")
 
 
@@ -250,6 +162,13 @@ def loo_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made, "low", "high")
 
 
+@query
+def influence_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each arm's metrics move from the full sample when one origin is left out."""
+    rows = metrics.leave_one_out(tables.predictions(spark, sf), ("series", "arm"))
+    return rounded(metrics.influence(rows, ("series", "arm")), "full", "low", "high", "max_abs_change")
+
+
 @query
 def class_support(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.label_support(tables.axis_labels(spark, sf), ("split",), AXES)
@@ -344,17 +263,37 @@ def reality_check(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inference.reality_check(rows, draws, "persistence", ("series",)), "best_advantage", "statistic", "p_value")
 
 
+def sizes_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("series").agg(F.max("fold").alias("n"))
+
+
 @query
 def seeded_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Production draws: PCG64 starts, shared by all arms of a series, and by all series of one length."""
+    """Intervals under 500 seeded replicates, whose starts come from a counter: any task can make any block."""
     rows, _ = positioned(spark, sf)
-    sizes = rows.groupBy("series").agg(F.max("fold").alias("n"))
+    draws = inference.hashed_draws(sizes_of(rows), 500, 4, 20260923)
+    made = inference.contrasts(inference.resampled_metrics(rows, draws, ("series",)), "persistence", ("series",))
+    return rounded(made, "low", "high")
+
+
+@query
+def generator_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same under draws of a sequential generator, PCG64, made on the driver: shared by all arms of a series, and by all series of one length."""
+    rows, _ = positioned(spark, sf)
+    sizes = sizes_of(rows)
     lengths = [r["n"] for r in sizes.select("n").distinct().orderBy("n").collect()]  # at most a series' length
     drawn = reduce(DataFrame.union, [inference.random_draws(spark, n, 500, 4, 20260923).withColumn("n", F.lit(n)) for n in lengths])
     draws = sizes.join(drawn, "n").drop("n")
     return inference.contrasts(inference.resampled_metrics(rows, draws, ("series",)), "persistence", ("series",))
 
 
+@query
+def direct_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """One arm against another, neither of them the benchmark: differences, intervals and the exact test."""
+    rows, draws = positioned(spark, sf)
+    return rounded(inference.direct_contrast(rows, "shrunk", "reversal", draws), "difference", "low", "high", "p_value")
+
+
 # ---- selection
 
 
@@ -383,9 +322,25 @@ def selection_stability(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(selection.selection_stability(selection.select_candidates(inner_scores(spark, sf), 20)), "share")
 
 
+@query
+def ordered_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in stable order, each row with its place in it."""
+    return selection.placed(rounded(selection.selection_stability(selection.select_candidates(inner_scores(spark, sf), 20)), "share"), ("arm", "objective", "lambda", "scaling"))
+
+
+@query
+def candidate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate's key and the parts it is made of."""
+    rows = inner_scores(spark, sf).select("arm", "lambda", "scaling").distinct()
+    wide = rows.withColumn("wide", F.col("lambda") * 1234567.0)
+    return wide.select(selection.candidate_key(F.col("arm"), F.col("lambda"), F.col("scaling")).alias("candidate"), "arm", "lambda", "scaling", scalars.general(F.col("wide")).alias("shown"))
+
+
 @query
 def unselected_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.unselected(inner_scores(spark, sf), 60)
+    """Groups whose best candidate has too few inner rows: the limit lies between what groups have."""
+    scores = inner_scores(spark, sf).withColumn("inner_n", F.col("inner_n") - F.col("fold") * 30)
+    return selection.unselected(scores, 60)
 
 
 # ---- validation, ids and lookups
@@ -460,15 +415,6 @@ def built_answers(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "text", raw.alias("raw"), (kind != 8).alias("ended"))
 
 
-@query
-def first_object_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers in prose: the object at the first brace, strictly."""
-    kind = F.col("doc_id") % 5
-    body = F.concat(F.lit('{"demand": '), (F.col("doc_id") % 3 - 1).cast("string"), F.when(kind == 1, ', "demand": 0').otherwise(""), F.lit(', "prices": '), F.when(kind == 2, "0.0").otherwise("1"), F.lit("}"))
-    raw = F.when(kind == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 4, F.concat(F.lit("{} "), body)).otherwise(body)
-    return validate.parse_first_objects(tables.read(spark, sf, "documents").select("doc_id", raw.alias("raw")), "raw", ("demand", "prices")).drop("raw")
-
-
 @query
 def lookup_joins(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's segment and nation: keyed lookups of which the small ones may be broadcast by size."""
@@ -490,7 +436,7 @@ def text_hash_check(spark: SparkSession, sf: str) -> DataFrame:
 def embedding_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings without a document, of another length, or with values that aren't finite."""
     rows = tables.read(spark, sf, "embeddings").select("vec_id", "embedding")
-    docs = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("known"))
+    docs = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("known")).distinct()
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     joined = rows.join(docs, "vec_id", "left")
     return joined.agg(
@@ -522,61 +468,7 @@ def one_hot_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("series", "i", "class_index", *[F.col("h")[k].alias(f"is_{c}") for k, c in enumerate(classes.CLASSES)], "points")
 
 
-# ---- models
-
-ARMS = {"all": ("first", "second", "missing_first", "missing_second"), "first": ("first", "missing_first"), "scores": ("first", "second"), "missing": ("missing_first", "missing_second")}
-
-
-def fitted(spark: SparkSession, sf: str, penalties: tuple[float, ...]) -> DataFrame:
-    data, at, pairs = scored_panel(spark, sf)
-    rows = features.designs(features.imputed(pairs, at, data, AXES), ARMS)
-    told = data.select("series", F.col("i").alias("j"), "direction", "action_bp")
-    return models.fit_predict(rows.join(told, ["series", "j"]), penalties)
-
-
-@query
-def model_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return fitted(spark, sf, (0.1,))
-
-
-@query
-def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Outer predictions whose penalty earlier folds chose: fits over the grid, inner scores, selection, assembly."""
-    grid = fitted(spark, sf, LAMBDAS).withColumn("scaling", F.lit("row_only"))
-    data = tables.observed(spark, sf)
-    told = data.select("series", "i", F.col("direction").alias("true_class"), F.col("action_bp").alias("true_bp"), "target_pub", "bucket")
-    at = tables.folds(data)
-    scored = grid.join(at.select("series", "fold", "i"), ["series", "fold"]).join(told, ["series", "i"])
-    # A fold's inner rows are the earlier folds whose targets were out by then.
-    asking = at.select(F.col("series").alias("of"), F.col("fold").alias("outer"), F.col("bucket").alias("asked"))
-    inner = scored.join(asking, (F.col("series") == F.col("of")) & (F.col("fold") < F.col("outer")) & (F.col("target_pub") <= F.col("asked"))).drop("of")
-    scores = metrics.arm_metrics(inner, ("series", "outer", "arm", "lambda", "scaling")).withColumnRenamed("n", "inner_n").withColumnRenamed("outer", "fold")
-    keys = ("series", "fold", "arm")
-    chosen = selection.select_candidates(scores, 10, keys)
-    return selection.assemble(chosen.select(*keys, "objective", "lambda", "scaling"), grid.drop("n_train"), keys)
-
-
-@query
-def sensitivity_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of every series' three arms under two scalings and five penalties."""
-    data, at, pairs = scored_panel(spark, sf)
-    arms = {a: ARMS[a] for a in ("all", "first", "scores")}
-    rows = features.scalings(features.designs(features.imputed(pairs, at, data, AXES), arms))
-    told = data.select("series", F.col("i").alias("j"), "direction", "action_bp")
-    made = models.fit_predict(rows.join(told, ["series", "j"]), LAMBDAS, ("series", "fold", "arm", "scaling"))
-    truth = data.select("series", "i", F.col("direction").alias("true_class"), F.col("action_bp").alias("true_bp"))
-    scored = made.join(at.select("series", "fold", "i"), ["series", "fold"]).join(truth, ["series", "i"])
-    return metrics.arm_metrics(scored, ("series", "arm", "scaling", "lambda"))
-
-
-@query
-def masked_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals of tuned less base runs (seeds 1 and 2 less seed 0) on the first 80 documents, resampled in blocks of 3."""
-    rows = seeded_runs(spark, sf).where("split = 'train'").withColumn("idx", F.col("doc_id"))
-    rows = rows.withColumn("family", F.when(F.col("seed") == 0, "base").otherwise("tuned"))
-    draws = inference.arithmetic_draws(spark.range(1).select(F.lit("all").alias("series"), F.lit(80).cast("long").alias("n")), 200, 3).drop("series")
-    scores = inference.masked_resampled(rows, draws, ("family",))
-    return rounded(inference.named_contrasts(scores, "family", {"tuned_effect": ("tuned", "base")}), "low", "high")
+# ---- more
 
 
 def labelled_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,7 +483,7 @@ def labelled_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def masked_bootstrap_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As masked_bootstrap, on all labelled documents: blocks of 3 positions drawn over their whole number."""
+    """Intervals of tuned less base runs (seeds 1 and 2 less seed 0) on all labelled documents: blocks of 3 positions drawn over their whole number."""
     at = labelled_positions(spark, sf)
     rows = seeded_runs(spark, sf).join(at, "doc_id").withColumn("family", F.when(F.col("seed") == 0, "base").otherwise("tuned"))
     sizes = at.agg(F.count("*").alias("n")).select(F.lit("all").alias("series"), "n")

@@ -110,45 +110,6 @@ tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(translate(text, 'İI',
 counts AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY ALL)
 """
 
-_FOLD_TEXT = (
-    _ORIGINS
-    + ","
-    + _TOKENS
-    + """,
-train AS (SELECT fold, j AS doc_id FROM pairs WHERE series = 'view'),
-asked AS (SELECT fold, i AS doc_id FROM folds WHERE series = 'view'),
-vocabulary AS (
-  SELECT * FROM (SELECT fold, token, count(*) AS df, CAST(row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, token) AS INT) AS rank
-                 FROM train JOIN counts USING (doc_id) GROUP BY fold, token HAVING count(*) >= 3) WHERE rank <= 50
-)
-"""
-)
-
-_SCORED = (
-    _ORIGINS
-    + ","
-    + _LABELS
-    + """,
-cells AS (
-  SELECT i, unnest([{'c': 'first', 'v': first}, {'c': 'second', 'v': second}], recursive := true)
-  FROM data LEFT JOIN axis_labels ON doc_id = i WHERE series = 'view'
-),
-train AS (SELECT fold, c, v FROM pairs JOIN cells ON cells.i = j WHERE series = 'view'),
-medians AS (SELECT fold, c, coalesce(median(v), 0.0::DOUBLE) AS m FROM train GROUP BY ALL),
-asked AS (SELECT fold, folds.i AS j, c, v FROM folds JOIN cells ON cells.i = folds.i WHERE series = 'view'),
-long_train AS (
-  SELECT fold, c AS "column", coalesce(v, m)::DOUBLE AS x FROM train JOIN medians USING (fold, c)
-  UNION ALL SELECT fold, 'missing_' || c, (v IS NULL)::INT::DOUBLE FROM train
-),
-long_asked AS (
-  SELECT fold, j, c AS "column", coalesce(v, m)::DOUBLE AS x FROM asked JOIN medians USING (fold, c)
-  UNION ALL SELECT fold, j, 'missing_' || c, (v IS NULL)::INT::DOUBLE FROM asked
-),
-fit AS (SELECT fold, "column", avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM long_train GROUP BY ALL),
-imputed AS (SELECT 'view' AS series, fold, j, "column", round((x - mean) / sd, 9) AS value FROM long_asked JOIN fit USING (fold, "column"))
-"""
-)
-
 _DRAWS = """,
 sizes AS (SELECT series, max(fold) AS n FROM predictions GROUP BY series),
 draws AS (
@@ -252,16 +213,8 @@ ORACLES: dict[str, str] = {
         fit AS (SELECT series, fold, c, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM pairs JOIN long USING (series, j) GROUP BY ALL)
         SELECT f.series, f.fold, fit.c AS "column", round(mean, 9) AS mean, round(sd, 9) AS sd, round((x - mean) / sd, 9) AS query
         FROM folds f JOIN fit USING (series, fold) JOIN long ON long.series = f.series AND long.j = f.i AND long.c = fit.c""",
-    "fold_imputed_scores": f"WITH {_SCORED} SELECT * FROM imputed",
-    "missing_only": f"WITH {_SCORED} SELECT * FROM imputed WHERE \"column\" LIKE 'missing_%'",
-    "design_rows": f"""WITH {_SCORED}, n AS (SELECT fold, (SELECT count(*) FROM pairs p WHERE p.series = 'view' AND p.fold = f.fold) + 1 AS n FROM folds f WHERE series = 'view')
-        SELECT 'view' AS series, fold, arm, n, width FROM n, (VALUES ('all', 4), ('first', 2), ('scores', 2), ('missing', 2)) a(arm, width)""",
     "token_counts": f"WITH {_TOKENS} SELECT * FROM counts",
     "document_frequency": f"WITH {_TOKENS} SELECT token, count(*) AS df FROM counts GROUP BY token",
-    "fold_vocabulary": f"WITH {_FOLD_TEXT} SELECT * FROM vocabulary",
-    "tfidf_weights": f"""WITH {_FOLD_TEXT}, sizes AS (SELECT fold, count(*) AS n FROM train GROUP BY fold),
-        raw AS (SELECT fold, doc_id, token, (1 + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM asked JOIN counts USING (doc_id) JOIN vocabulary USING (fold, token) JOIN sizes USING (fold))
-        SELECT fold, doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY fold, doc_id)), 9) AS weight FROM raw""",
     "hash_embedding_buckets": f"""WITH {_TOKENS}, signed AS (SELECT doc_id, (('0x' || substr(sha256(token), 1, 8))::BIGINT % 64)::INT AS bucket,
           if(('0x' || substr(sha256(token), 9, 2))::BIGINT % 2 = 1, tf, -tf) AS s FROM counts),
         sums AS (SELECT doc_id, bucket, sum(s)::BIGINT AS s FROM signed GROUP BY ALL HAVING sum(s) <> 0)
@@ -324,7 +277,11 @@ ORACLES: dict[str, str] = {
     "candidate_selection": f"WITH {_INNER} SELECT * FROM chosen",
     "selection_stability": f"""WITH {_INNER} SELECT arm, objective, "lambda", scaling, selections, round(selections / (sum(selections) OVER (PARTITION BY arm, objective))::DOUBLE, 9) AS share
         FROM (SELECT arm, objective, "lambda", scaling, count(*) AS selections FROM chosen GROUP BY 1, 2, 3, 4)""",
-    "unselected_groups": f"WITH {_INNER} SELECT fold, arm, max(inner_n) AS most FROM inner_scores GROUP BY ALL HAVING max(inner_n) < 60",
+    "unselected_groups": f"WITH {_INNER} SELECT fold, arm, max(inner_n - 30 * fold) AS most FROM inner_scores GROUP BY ALL HAVING max(inner_n - 30 * fold) < 60",
+    "ordered_stability": f"""WITH {_INNER}, s AS (SELECT arm, objective, "lambda", scaling, selections, round(selections / (sum(selections) OVER (PARTITION BY arm, objective))::DOUBLE, 9) AS share
+        FROM (SELECT arm, objective, "lambda", scaling, count(*) AS selections FROM chosen GROUP BY 1, 2, 3, 4))
+        SELECT *, row_number() OVER (ORDER BY arm, objective, "lambda", scaling) - 1 AS position FROM s""",
+    "candidate_keys": f"""WITH {_INNER} SELECT DISTINCT arm || '|lambda=' || format('{{:g}}', "lambda") || '|scaling=' || scaling AS candidate, arm, "lambda", scaling, format('{{:g}}', "lambda" * 1234567.0::DOUBLE) AS shown FROM inner_scores""",
     "opaque_ids": f"""WITH {_ORIGINS} SELECT origin_id, 'T-' || substr(sha256('salt|' || origin_id), 1, 12) AS item_id, 'B-' || substr(sha256('20260923:' || origin_id), 1, 12) AS blind_id FROM origins""",
     "duplicate_keys": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
     "key_set_difference": """SELECT doc_id, 'left_only' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
@@ -348,11 +305,6 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'series', series, count(*), count(*) FILTER (true_class = predicted_class) FROM predictions GROUP BY series""",
     "one_hot_rows": f"""WITH {_ORIGINS} SELECT series, i, CASE direction WHEN 'cut' THEN 0 WHEN 'hold' THEN 1 ELSE 2 END AS class_index, (direction = 'cut')::INT AS is_cut, (direction = 'hold')::INT AS is_hold,
         (direction = 'hike')::INT AS is_hike, action_bp / 100.0::DOUBLE AS points FROM data""",
-    "masked_bootstrap": f"""WITH {_RUNS}, draws AS (SELECT rep, ((rep * 7919 + (pos // 3) * 104729) % 80 + pos % 3) % 80 AS doc_id, count(*) AS times FROM range(200) r(rep), range(80) p(pos) GROUP BY ALL),
-        drawn AS (SELECT rep, seed, axis, truth, predicted, times FROM seeded JOIN draws USING (doc_id) WHERE split = 'train' AND truth IS NOT NULL),
-        per AS (SELECT rep, seed, axis, ({" + ".join(f"coalesce(2.0::DOUBLE * coalesce(sum(times) FILTER (truth = {v} AND predicted = {v}), 0)::DOUBLE / nullif(coalesce(sum(times) FILTER (truth = {v}), 0)::DOUBLE + coalesce(sum(times) FILTER (predicted = {v}), 0)::DOUBLE, 0), 0)" for v in (-1, 0, 1))}) / 3.0::DOUBLE AS f FROM drawn GROUP BY ALL),
-        family AS (SELECT rep, avg(f) FILTER (seed > 0) - avg(f) FILTER (seed = 0) AS d FROM per GROUP BY rep)
-        SELECT 'tuned_effect' AS contrast, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM family""",
     "label_codes": "SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN NULL ELSE quality * 2 - 1 END AS code FROM labels",
     "numeric_text": "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL ELSE c_custkey + 0.5::DOUBLE END AS x FROM customer",
 }

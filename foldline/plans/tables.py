@@ -16,7 +16,6 @@ from foldline.operators import series
 
 #: Seconds of a bucket; changes within this many bp are a hold; origins from this position on are evaluated.
 BUCKET, WIDTH, EVALUATED = 21_600, 300, 80
-ONE_SERIES = "view"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,27 +80,22 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): the statement of origin i of the one series with texts is document i."""
+    """(doc_id, text) of all documents; `dealt_documents` says whose statements they are."""
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def hashed(key: Column, first: int, n: Column) -> Column:
+    """A number in [0, n) from 12 hex digits, from place `first` on, of the MD5 of a key as text."""
+    return F.conv(F.substring(F.md5(key.cast("string")), first, 12), 16, 10).cast("long") % n
+
+
 def dealt_documents(spark: SparkSession, sf_dir: str, data: DataFrame) -> DataFrame:
-    """(doc_id, series, i): every document dealt by its id's hash to one origin of `data`, whose i count from 0 in each series."""
+    """(doc_id, series, i): every document dealt by its id's MD5 to one origin of `data`, whose i count from 0 in each series."""
     lengths = data.groupBy("series").agg((F.max("i") + 1).alias("n"))
-    order = F.row_number().over(series.Window.orderBy("series")) - 1  # a row a series
-    numbered = lengths.select("series", "n", order.alias("no"), F.count("*").over(series.Window.partitionBy(F.lit(0))).alias("of"))
+    numbered = lengths.withColumn("no", F.row_number().over(series.Window.orderBy("series")) - 1)  # a row a series
     docs = read(spark, sf_dir, "documents").select("doc_id").distinct()
-    of = numbered.agg(F.max("of").alias("of"))
-    to = docs.crossJoin(F.broadcast(of)).withColumn("no", F.pmod(F.xxhash64("doc_id"), F.col("of")))  # one row beside every document
-    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n")).cast("long")
-    return to.join(numbered.drop("of"), "no").select("doc_id", "series", at.alias("i"))
-
-
-def text_folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(fold, doc_id) of the training statements and of the queries, of one series."""
-    data = observed(spark, sf_dir).where(F.col("series") == ONE_SERIES)
-    at = folds(data)
-    return fold_ops.training_pairs(at, data).select("fold", F.col("j").alias("doc_id")), at.select("fold", F.col("i").alias("doc_id"))
+    to = docs.withColumn("no", hashed(F.col("doc_id"), 1, F.lit(max(1, lengths.count()))))
+    return to.join(numbered, "no").select("doc_id", "series", hashed(F.col("doc_id"), 13, F.col("n")).alias("i"))
 
 
 def axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,48 @@ def test_runs_report_what_they_lack(spark, tmp_path):
         (tmp_path / name).write_text("{}")
     made = {r["run"].rsplit("/", 1)[1]: (r["files"], r["missing"]) for r in readers.discover_runs(spark, str(tmp_path), ["manifest.json", "x.json"]).collect()}
     assert made == {"a": (2, []), "c": (1, ["manifest.json"])}
+
+
+def test_csv_inside_an_archive(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a.csv", "\ufeffid,x,y\r\n1,\"a, b\",\r\n2,\"line\nbreak\",é\r\n".encode())
+    made = readers.read_zip_csv(spark, str(tmp_path / "z.zip"), "a.csv", ["x", "id"]).select("line_no", "id", "x").collect()
+    assert sorted(map(tuple, made)) == [(0, "1", "a, b"), (1, "2", "line\nbreak")]
+    with pytest.raises(Exception, match="lacks"):
+        readers.read_zip_csv(spark, str(tmp_path / "z.zip"), "a.csv", ["q"]).collect()
+
+
+def test_staging_refuses_what_is_nowhere(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    (tmp_path / "in" / "d" / "x").write_bytes(b"content")
+    found = {"a": hashlib.sha256(b"content").hexdigest()}
+    assert sinks.stage(spark, str(tmp_path / "in"), found, str(tmp_path / "raw"))["a"].endswith("/d/x")
+    assert (tmp_path / "raw" / "a").read_bytes() == b"content" and [p.name for p in (tmp_path / "raw").iterdir() if not p.name.startswith(".")] == ["a"]
+    with pytest.raises(FileNotFoundError, match="lost"):
+        sinks.stage(spark, str(tmp_path / "in"), found | {"lost": "0"}, str(tmp_path / "raw2"))
+    assert not (tmp_path / "raw2").exists()
+
+
+def test_files_are_put_whole_over_old_ones(spark, tmp_path):
+    for data in (b"old", b"new and longer", b""):
+        sinks.put(spark, str(tmp_path / "f" / "x.bin"), data)
+        assert (tmp_path / "f" / "x.bin").read_bytes() == data
+
+
+def test_csv_guards_and_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "k int, t string")
+    with pytest.raises(ValueError, match="no rows"):
+        sinks.write_csv(df.limit(0), str(tmp_path / "none"), require_rows=True)
+    sinks.write_csv(df, str(tmp_path / "m"), single_file=True, mark=True)
+    written = next((tmp_path / "m").glob("*.csv")).read_bytes()
+    assert written.startswith(b"\xef\xbb\xbfk,t") and readers.read_csv(spark, str(tmp_path / "m")).columns == ["k", "t"]
+
+
+def test_a_packet_needs_its_mark_once(spark):
+    items = spark.createDataFrame([(1, "b", "</script>"), (0, "a", "x")], "position int, item_id string, text string")
+    page = sinks.annotator_packet(items, "<script>/*ITEMS*/</script>")
+    assert page.count("</script>") == 1 and [r["item_id"] for r in json.loads(page[8:-9])] == ["a", "b"]
+    with pytest.raises(ValueError, match="once"):
+        sinks.annotator_packet(items, "nothing")

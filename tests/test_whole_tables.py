@@ -28,15 +28,9 @@ def test_every_document_is_dealt_to_one_origin(spark):
     assert made.join(data, ["series", "i"], "left_anti").count() == 0
 
 
-def test_queries_without_sql_answer_for_every_series(spark):
+def test_panel_queries_answer_for_every_series(spark):
     known = {r["series"] for r in tables.folds(tables.observed(spark, SMALL)).select("series").distinct().collect()}
     assert len(known) > 1
-    for name in ("lsa_projection", "model_predictions", "sensitivity_grid", "seeded_bootstrap"):
+    for name in ("panel_imputed_scores", "panel_vocabulary", "lsa_projection", "seeded_bootstrap", "market_proxy"):
         made = catalogue.QUERIES[name](spark, SMALL)
         assert {r["series"] for r in made.select("series").distinct().collect()} == known, name
-
-
-def test_nested_selection_keeps_series_apart(spark):
-    made = catalogue.nested_selection(spark, SMALL).collect()
-    assert len({r["series"] for r in made}) > 1
-    assert len({(r["series"], r["fold"], r["arm"]) for r in made}) == len(made)
