@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 DIGITS = 13
 #: Hex digits of the key's digest that make the numbering buckets of a shard: 4096 of them.
 BUCKET_DIGITS = 3
+#: Different rows of a key from which on it has buckets of its own, and equal rows that are written out at once.
+HOT_KEY, LONG_RUN = 100_000, 1 << 20
 
 
 def unit(key: Column) -> Column:
@@ -43,9 +45,9 @@ def assign_shards(
     alone decides the shard: null keys hash as one key of their own, repeated keys share a shard. An empty
     table gives no rows.
 
-    Numbering is in two steps, so that no task holds a shard: rows are numbered within buckets of a shard
-    (16**BUCKET_DIGITS of them, by leading digits of the key's digest), then a bucket's offset is added, which
-    comes from one count a bucket; that table has at most shards x 16**BUCKET_DIGITS rows and is broadcast.
+    Equal rows are counted first and numbered as one run. Runs are numbered within buckets of a shard (16**BUCKET_DIGITS of them, by leading
+    digits of the key's digest), then a bucket's offset is added. A key of over HOT_KEY different rows has buckets of its own, by leading bits
+    of the CRC, and a run of over LONG_RUN equal rows is written out in parts that are dealt anew: no task holds a shard, a key or a run.
     """
     for given in (weights, *([grown] if grown is not None else [])):
         if not given or not all(math.isfinite(w) and w > 0 for w in given.values()):
@@ -59,19 +61,28 @@ def assign_shards(
         (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
         F.md5(key).alias("digest"),
     )
-    rows = rows.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
-    inside = Window.partitionBy("shard", "bucket").orderBy("digest", "key", "text_crc32", "size")
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("shard", "bucket")
-        .agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("offset"))
+    groups = rows.groupBy("shard", "grown_shard", "digest", "key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    groups = groups.withColumn("prefix", F.substring("digest", 1, BUCKET_DIGITS))
+    many = groups.groupBy("shard", "prefix", "digest").agg(F.count("*").alias("m")).where(F.col("m") > HOT_KEY)
+    hot = many.groupBy("shard", "prefix").agg(F.collect_list("digest").alias("hot"))
+    # Buckets in the rows' order: those before, of, between and behind the hot keys of a prefix.
+    below = F.size(F.filter("hot", lambda d: d < F.col("digest")))
+    own = F.coalesce(F.array_contains("hot", F.col("digest")), F.lit(False))
+    placed = groups.join(hot, ["shard", "prefix"], "left").withColumns(
+        {"part": F.when(F.col("hot").isNull(), F.lit(0)).otherwise(2 * below + own.cast("int")), "bits": F.when(own, F.shiftright("text_crc32", 20)).otherwise(F.lit(0).cast("long"))}
     )
-    return (
-        rows.withColumn("rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["shard", "bucket"])
-        .select(
-            "key", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard",
-        )
-    )
+    bucket = ["shard", "prefix", "part", "bits"]
+    inside = Window.partitionBy(*bucket).orderBy("digest", "key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy("prefix", "part", "bits").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*bucket).agg(F.sum("n").alias("rows"))
+    offsets = sums.select(*bucket, F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")).alias("offset"))
+    runs = placed.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long"))).join(offsets, bucket)
+    runs = runs.select("key", "size", "text_crc32", "shard", "grown_shard", "n", (F.col("offset") + F.col("first")).alias("first"))
+    out = ["key", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard"]
+    most = groups.agg(F.max("n")).first()[0] or 0
+    if most <= LONG_RUN:
+        return runs.select(*out)
+    steps = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(LONG_RUN).cast("long"))
+    parts = runs.where(F.col("n") > LONG_RUN).withColumn("step", F.explode(steps))
+    parts = parts.withColumns({"first": F.col("first") + F.col("step"), "n": F.least(F.lit(LONG_RUN).cast("long"), F.col("n") - F.col("step"))})
+    return runs.where(F.col("n") <= LONG_RUN).select(*out).unionByName(parts.repartition("shard", "key", "step").select(*out))

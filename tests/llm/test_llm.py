@@ -556,6 +556,23 @@ def test_sharding_by_weight_and_of_awkward_rows(spark, awkward):
             sharding.assign_shards(awkward, {0: 1.0}, wrong)
 
 
+def test_hot_keys_and_long_runs_are_numbered_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(7, f"text {rng.randrange(150)}") for _ in range(400)] + [(7, "again")] * 300 + [(8, "x")] * 50 + [(k, f"t{k}") for k in range(300)] + [(None, "n")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for hot, run in ((100_000, 1 << 20), (20, 1 << 20), (20, 16), (100_000, 16)):
+        monkeypatch.setattr(sharding, "HOT_KEY", hot)
+        monkeypatch.setattr(sharding, "LONG_RUN", run)
+        made.append(sorted(map(tuple, sharding.assign_shards(df, {0: 1.0, 1: 1.0, 2: 2.0}, {s: 1.0 for s in range(4)}).collect()), key=str))
+    assert made[0] == made[1] == made[2] == made[3] and len(made[0]) == len(rows)
+    for s in range(3):
+        slots = sorted(r[5] for r in made[0] if r[4] == s)
+        assert slots == list(range(len(slots)))
+    of = sorted((r[5], r[2], r[1]) for r in made[0] if r[0] == 7)
+    assert len(of) == 701 and of[-1][0] - of[0][0] == 700 and [x[1:] for x in of] == sorted(x[1:] for x in of)
+
+
 # ---- 7 BPE
 
 
