@@ -28,7 +28,8 @@ def panel(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     data = tables.observed(spark, sf)
     dealt = tables.dealt_documents(spark, sf, data)
     scores = tables.axis_labels(spark, sf).join(dealt, "doc_id").groupBy("series", "i").agg(*[F.avg(a).alias(a) for a in AXES])
-    data = data.join(scores, ["series", "i"], "left")
+    # A row an origin, which everything below reads: written once.
+    data = settled(data.join(scores, ["series", "i"], "left"))
     at = tables.folds(data)
     return data, at, folds.training_pairs(at, data)
 
@@ -75,7 +76,7 @@ def panel_text(spark: SparkSession, sf: str, data: DataFrame, at: DataFrame) ->
 
 @query
 def panel_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    data = tables.observed(spark, sf)
+    data = settled(tables.observed(spark, sf))
     return panel_text(spark, sf, data, tables.folds(data))[2]
 
 
@@ -86,7 +87,7 @@ def weights_of(rows: DataFrame, counts: DataFrame, sizes: DataFrame, vocabulary:
 @query
 def panel_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of every fold's query."""
-    data = tables.observed(spark, sf)
+    data = settled(tables.observed(spark, sf))
     at = tables.folds(data)
     asked = at.select("series", "fold", F.col("i").alias("j"))
     return rounded(weights_of(asked, *panel_text(spark, sf, data, at)), "weight")
@@ -95,7 +96,7 @@ def panel_tfidf(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def lsa_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Projections of every series' origins, whose text is that of all documents dealt to them."""
-    data = tables.observed(spark, sf)
+    data = settled(tables.observed(spark, sf))
     at = tables.folds(data)
     rows = assembly.fold_rows(folds.training_pairs(at, data), at)
     made = models.lsa_projection(weights_of(rows, *panel_text(spark, sf, data, at)), COMPONENTS, "j", ("series", "fold"))
@@ -255,8 +256,8 @@ def selection_rule_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
     A rule picks one of the arms in each fold by its scores over the earlier folds that were out by then.
     """
-    rows = tables.predictions(spark, sf)
-    data = tables.observed(spark, sf)
+    rows = settled(tables.predictions(spark, sf))
+    data = settled(tables.observed(spark, sf))
     at = tables.folds(data)
     scored = rows.join(data.select("series", "i", "target_pub"), ["series", "i"]).withColumn("lambda", F.lit(1.0)).withColumn("scaling", F.lit("row_only"))
     scores = inner_scores(at, scored).where("inner_n >= 5")
