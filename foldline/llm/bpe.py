@@ -8,8 +8,9 @@ Chunks encoded apart are exact only if no token reaches over their join. So ever
 up to white space, is re-encoded together, and where that differs from the two parts, the chunks are put together and encoded as one,
 and the join after them is judged in turn, until all that remain agree. An answer is kept for the very same two strings only.
 
-Inside a chunk the tokenizer's own definition may say that no token spans white space (`spans_no_space`). Then a chunk is the sum of its
-pieces, each of them encoded once and kept; else a chunk is encoded whole.
+The tokenizer's own definition may say that no token spans white space (`spans_no_space`). Then a chunk is the sum of its pieces, each of
+them encoded once and kept, and a join before white space and behind none is one of pieces and needs no repair; else a chunk is encoded
+whole. Pieces are given to the tokenizer many in one string, with an added token of its own between them, which ends all context.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .textkit import text_batches, texts_of, with_columns
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A piece: white space and what follows it, up to the next white space.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\\Z")
+SPACES = re.compile(f"[{SPACE}]")
 LAST_PIECE = re.compile(f"[{SPACE}]*(?:[^{SPACE}]+|[{SPACE}]+)\\Z")
 #: The rolling hash: bytes it looks at, its factor, and the bits that must be 0 at a cut (one white space in 64).
 ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(63 << 20)
@@ -39,8 +41,8 @@ ROLL, FACTOR, MASK = 16, np.uint32(2654435761), np.uint32(63 << 20)
 CHUNK_BYTES, PIECE_BYTES, JOIN_BYTES = 16 << 20, 64 << 20, 8 << 20
 #: Characters of a chunk's end in which its last piece is looked for first.
 TAIL = 48
-#: Strings encoded at once; an encoding is much larger than its string.
-AT_ONCE = 2048
+#: Strings encoded at once; an encoding is much larger than its string. Strings put together into one.
+AT_ONCE, JOINED = 2048, 128
 #: Bytes of output that a task holds at once.
 FLUSH = 8 << 20
 
@@ -133,6 +135,8 @@ class ChunkEncoder:
 
         spec = json.loads(tokenizer_json)
         self.apart = spans_no_space(spec)
+        marks = [(t["content"], t["id"]) for t in spec.get("added_tokens") or [] if not t["normalized"]]
+        self.mark = marks[0] if self.apart and marks else None
         del spec
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -144,8 +148,29 @@ class ChunkEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[Ids]:
         for i in range(0, len(texts), AT_ONCE):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False):
-                yield _packed(e.ids)
+            some = texts[i : i + AT_ONCE]
+            if self.mark:
+                yield from self._joined([some[j : j + JOINED] for j in range(0, len(some), JOINED)])
+            else:
+                yield from self._each(some)
+
+    def _each(self, texts: list[str]) -> Iterator[Ids]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield _packed(e.ids)
+
+    def _joined(self, groups: list[list[str]]) -> Iterator[Ids]:
+        """The ids of every text of the groups, each group encoded as one string with the mark between."""
+        mark, number = self.mark
+        whole = [mark.join(g) for g in groups]
+        for group, text, e in zip(groups, whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<i4")
+            ends = np.flatnonzero(ids == number)
+            if not len(ends) == text.count(mark) == len(group) - 1:  # a text holds the mark, or makes another token with its beginning
+                yield from self._each(group)
+                continue
+            packed = ids.tobytes()
+            for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(packed)], strict=True):
+                yield packed[a:b]
 
     def decode(self, ids: Ids) -> str:
         found = np.frombuffer(ids, "<i4")
@@ -182,7 +207,7 @@ class ChunkEncoder:
         cut = {c: PIECE.findall(c) for c in new}
         self._pieces(set().union(*cut.values()))
         piece = self.pieces
-        self.chunks.keep({c: b"".join([piece[p] for p in ps]) for c, ps in cut.items()})
+        self.chunks.keep({c: b"".join(map(piece.__getitem__, ps)) for c, ps in cut.items()})
 
     def _pieces(self, wanted: set[str]) -> None:
         """Encode those of the pieces that aren't kept."""
@@ -192,8 +217,13 @@ class ChunkEncoder:
 
     def _repaired(self, cut: list[list[str]]) -> list[list[str]]:
         """The texts' chunks, those beside a join that doesn't agree put together."""
-        sides = [[(_last_piece(a), PIECE.match(b)[0]) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cut]
-        new = list(self.joins.unknown({x for pairs in sides for x in pairs}))
+
+        def beside(a: str, b: str) -> tuple[str, str] | None:
+            """What is re-encoded together; None where a piece ends anyway."""
+            return None if self.apart and not SPACES.match(a[-1]) else (_last_piece(a), PIECE.match(b)[0])
+
+        sides = [[beside(a, b) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cut]
+        new = list(self.joins.unknown({x for pairs in sides for x in pairs if x}))
         self._pieces({s for x in new for s in x})
         piece, both = self.pieces, self._encode([a + b for a, b in new])
         self.joins.keep({x: piece[x[0]] + piece[x[1]] == ids for x, ids in zip(new, both, strict=True)})
@@ -202,7 +232,7 @@ class ChunkEncoder:
         for chunks, pairs in zip(cut, sides, strict=True):
             made = chunks[:1]
             for chunk, pair in zip(chunks[1:], pairs, strict=True):
-                if agrees[pair]:
+                if not pair or agrees[pair]:
                     made.append(chunk)
                 else:
                     made[-1] += chunk

@@ -632,6 +632,29 @@ def test_joins_that_do_not_agree_are_repaired():
     assert not all(own.joins.values())
 
 
+def test_pieces_go_to_the_tokenizer_many_at_once():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.given = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), bpe.ChunkEncoder(open(path, encoding="utf-8").read())
+    own.tokenizer = Counted(own.tokenizer)
+    texts = [" ".join(f"Wort{n * k} läuft'{k}," for k in range(400)) for n in range(1, 6)]
+    odd = ["a <|endoftext|> b", "<|endoftext|", "<|endoftext|><|endoftext|>", "x<|start", "oftext|> <|startoftext|>y", "<|end oftext|>", "", "\xa0", "\xa0 \xa0"]
+    for some, most in ((texts, 100), (odd, 1000)):  # one string a piece would be over 2,000
+        own.tokenizer.given = 0
+        for text, ids in zip(some, own.encode(some), strict=True):
+            assert np.frombuffer(ids, "<i4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert own.tokenizer.given < most
+
+
 def test_caches_are_bounded_and_forget(monkeypatch):
     from tokenizers import Tokenizer
 
