@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,9 @@ def durable(df: DataFrame) -> DataFrame:
     """`df`, written to the shared checkpoint folder and read from there ever after."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have shuffle files removed that only `durable` tables were made from; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -182,10 +182,12 @@ def forest_within(homes: np.ndarray, queries: np.ndarray, radius: int, limit: in
     def blocks(h: np.ndarray, q: np.ndarray) -> None:
         nonlocal label
         step = 1 << 14
+        # Of pairs that pass the first word, all words are gathered: some 150 bytes a pair.
+        pairs = 1 << (20 if homes.shape[1] == 1 else 17)
         for j in range(0, len(h), step):
             hj = h[j : j + step]
             hv = h0[hj]
-            rows = max(1, (1 << 20) // len(hj))
+            rows = max(1, pairs // len(hj))
             for i in range(0, len(q), rows):
                 qi = q[i : i + rows]
                 a, b = np.nonzero(np.bitwise_count(q0[qi][:, None] ^ hv[None, :]) <= radius)
