@@ -27,7 +27,7 @@ def close(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
 
 def turkish_lower(text: Column) -> Column:
     """Lower case with dotted and dotless i kept apart."""
-    return F.lower(F.translate(text, "İI", "iı"))
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
 
 def words(text: Column) -> Column:

@@ -1,10 +1,14 @@
-"""Results that several plans read, written once to the session's checkpoint folder."""
+"""Results that several plans read, written once to the session's checkpoint folder; and small ones, sent to all executors."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table of a few narrow columns that `sent` hands to every executor, at most.
+FEW = 100_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -20,3 +24,8 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldline-settled-"))
     return df.checkpoint(eager=True)
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """`df` as a join's side that is broadcast where it has `FEW` rows at most, which are counted; as it is where it has more."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

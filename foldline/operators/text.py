@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldline.functions.scalars import words
+from foldline.operators.settled import sent
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -31,10 +32,18 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def expanding_frequency(counts: DataFrame, entries: DataFrame, min_df: int, series: str = "series") -> DataFrame:
     """(series, fold, token, df) of each fold's training origins, where df is `min_df` at least.
 
-    `counts` is (series, j, token), unique, and `entries` as `folds.entry_folds` gives them. Frequencies only grow from fold to fold, so they are running
-    sums over the folds at which origins enter, each of which holds until the next; training sets are never written out.
+    `counts` is (series, j, token), in which a row may come many times, and `entries` as `folds.entry_folds` gives them. Frequencies only grow from fold to
+    fold, so they are running sums over the folds at which origins enter, each of which holds until the next; training sets are never written out.
+    A token's origins are bits, 64 to a word, put together before anything is moved: what is shuffled is bounded by tokens and origins, not by texts.
     """
-    steps = counts.join(entries, [series, "j"]).groupBy(series, "token", "entry").agg(F.count("*").alias("n"), F.max("last").alias("last"))
+    word, bit = F.floor(F.col("j") / 64).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("j") % 64).cast("int"))
+    found = counts.groupBy(series, "token", word).agg(F.bit_or(bit).alias("_bits")).repartition(series, "token")
+    often = F.sum(F.bit_count("_bits")).over(Window.partitionBy(series, "token"))
+    found = found.withColumn("_often", often).where(F.col("_often") >= min_df)
+    masks = entries.groupBy(series, word, "entry").agg(F.bit_or(bit).alias("_mask"), F.max("last").alias("last"))
+    both = F.col("_bits").bitwiseAND(F.col("_mask"))
+    entered = found.join(sent(masks), [series, "_w"]).where(both != 0)
+    steps = entered.groupBy(series, "token", "entry").agg(F.sum(F.bit_count(both)).alias("n"), F.max("last").alias("last"))
     order = Window.partitionBy(series, "token").orderBy("entry")
     held = steps.select(
         series, "token", "entry", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("df"), F.coalesce(F.lead("entry").over(order) - 1, F.col("last")).alias("until")

@@ -13,6 +13,7 @@ from foldline.functions.classes import CLASSES, choose_class, direction
 from foldline.functions.scalars import half_up
 from foldline.operators import folds as fold_ops
 from foldline.operators import series
+from foldline.operators.settled import sent
 
 #: Seconds of a bucket; changes within this many bp are a hold; origins from this position on are evaluated.
 BUCKET, WIDTH, EVALUATED = 21_600, 300, 80
@@ -91,11 +92,15 @@ def hashed(key: Column, first: int, n: Column) -> Column:
 
 def dealt_documents(spark: SparkSession, sf_dir: str, data: DataFrame) -> DataFrame:
     """(doc_id, series, i): every document dealt by its id's MD5 to one origin of `data`, whose i count from 0 in each series."""
+    return dealt(read(spark, sf_dir, "documents").select("doc_id").distinct(), data)
+
+
+def dealt(docs: DataFrame, data: DataFrame) -> DataFrame:
+    """`docs` (doc_id, ...), row by row, beside the (series, i) that their ids are dealt to; where series are few, no row of `docs` is moved."""
     lengths = data.groupBy("series").agg((F.max("i") + 1).alias("n"))
     numbered = lengths.withColumn("no", F.row_number().over(series.Window.orderBy("series")) - 1)  # a row a series
-    docs = read(spark, sf_dir, "documents").select("doc_id").distinct()
     to = docs.withColumn("no", hashed(F.col("doc_id"), 1, F.lit(max(1, lengths.count()))))
-    return to.join(numbered, "no").select("doc_id", "series", hashed(F.col("doc_id"), 13, F.col("n")).alias("i"))
+    return to.join(sent(numbered), "no").select(*docs.columns, "series", hashed(F.col("doc_id"), 13, F.col("n")).alias("i"))
 
 
 def axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,26 @@ def test_expanding_frequencies_equal_those_of_written_out_sets(spark):
     assert sorted(map(tuple, made.select("series", "fold", "token", "df").collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_words_that_come_many_times_count_once_an_origin(spark):
+    told = [(s, j, t) for s in ("a", "b") for j in (0, 1, 63, 64, 127, 200) for t in ("x", "y", "z") if (t, j) not in (("y", 1), ("y", 127)) and (t != "z" or j < 2)]
+    entries = spark.createDataFrame([("a", j, 1 + k, 7) for k, j in enumerate((0, 1, 63, 64, 127, 200))] + [("b", 200, 2, 3)], "series string, j long, entry long, last long")
+    made = text.expanding_frequency(spark.createDataFrame(told * 3, "series string, j long, token string"), entries, 3)
+    x = {("a", f, "x", min(f, 6)) for f in range(3, 8)}
+    y = {("a", f, "y", n) for f, n in ((4, 3), (5, 3), (6, 4), (7, 4))}
+    assert sorted(map(tuple, made.select("series", "fold", "token", "df").collect())) == sorted(x | y)
+
+
+def test_weights_are_made_of_counts_of_vocabulary_words_alone(spark):
+    data = tables.observed(spark, SMALL)
+    at = tables.folds(data)
+    counts, _, vocabulary = arms.panel_text(spark, SMALL, data, at)
+    known = vocabulary.select("series", "token").distinct()
+    whole = arms.origin_counts(spark, SMALL, data)
+    assert sorted(map(tuple, counts.select("series", "j", "token", "tf").collect())) == sorted(map(tuple, whole.join(known, ["series", "token"], "left_semi").select("series", "j", "token", "tf").collect()))
+    plain = text.token_counts(tables.statements(spark, SMALL)).join(tables.dealt_documents(spark, SMALL, data), "doc_id").groupBy("series", "i", "token").agg(F.sum("tf"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, whole.select("series", "j", "token", "tf").collect()))
+
+
 def test_lsa_query_equals_a_plain_projection(spark):
     from test_functions import gram_projection
 
