@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -87,6 +88,28 @@ def arithmetic_draws(sizes: DataFrame, replicates: int, block: int, series: str
     return drawn.groupBy(series, "rep", "idx").agg(F.count("*").alias("times"))
 
 
+def arithmetic_times(idx: Column, rep: Column, n: int, block: int) -> Column:
+    """How often `arithmetic_draws` draws a position in a replicate, from the two numbers alone: no table of draws, no join.
+
+    Position idx is the k-th of block b where 104729 b = idx - k - 7919 rep (mod n). With g = gcd(104729, n) the blocks that solve it are b0, b0 + n / g, ...,
+    of which those count whose k-th position is among the n.
+    """
+    if n <= 0:
+        return F.lit(0).cast("long")
+    g = math.gcd(104729, n)
+    m = n // g
+    inverse = pow(104729 // g, -1, m)
+    found = F.lit(0).cast("long")
+    for k in range(min(block, n)):
+        d = F.pmod(idx.cast("long") - k - 7919 * rep.cast("long"), F.lit(n).cast("long"))
+        first = F.floor(d / g).cast("long") if g > 1 else d
+        first = (first * F.lit(inverse).cast("long")) % F.lit(m).cast("long")
+        blocks = (n - k + block - 1) // block
+        times = F.call_function("div", F.lit(blocks + m - 1).cast("long") - first, F.lit(m).cast("long"))
+        found = found + (F.when(d % g == 0, times).otherwise(0) if g > 1 else times)
+    return found
+
+
 #: Starts that `random_draws` makes on the driver, at most.
 DRIVER_STARTS = 10_000_000
 
@@ -176,19 +199,22 @@ def reality_check(positioned: DataFrame, draws: DataFrame, benchmark: str, keys:
     )
 
 
-def masked_resampled(rows: DataFrame, draws: DataFrame, by: Sequence[str]) -> DataFrame:
+def masked_resampled(rows: DataFrame, n: int, replicates: int, block: int, by: Sequence[str]) -> DataFrame:
     """(rep, by, macro_f1): `metrics.masked_scores` of every replicate; `rows` have idx, seed, axis, truth and predicted beside `by`.
 
-    Counts are weighted by how often a replicate drew the row; scores are averaged over seeds and axes.
+    Counts are weighted by how often a replicate drew the row, as `arithmetic_times` says of `n` positions; scores are averaged over seeds and axes. Rows are
+    added up where they are read: neither draws nor their counts of rows are sent anywhere.
     """
     t, p, times = F.col("truth"), F.col("predicted"), F.col("times")
 
     def total(c: Column) -> Column:
         return F.sum(F.when(c, times).otherwise(0))
 
-    valid = rows.where(t.isNotNull()).join(draws, "idx")
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    drawn = rows.where(t.isNotNull()).select(*by, "seed", "axis", "truth", "predicted", "idx", reps)
+    valid = drawn.withColumn("times", arithmetic_times(F.col("idx"), F.col("rep"), n, block))
     cells = [x.alias(f"{k}{v + 1}") for v in (-1, 0, 1) for k, x in (("h", total((t == v) & (p == v))), ("t", total(t == v)), ("a", total(p == v)))]
-    per = valid.groupBy("rep", *by, "seed", "axis").agg(*cells)
+    per = valid.groupBy("rep", *by, "seed", "axis").agg(*cells, F.sum(times).alias("drawn")).where("drawn > 0")
     parts = [ratio(2.0 * F.col(f"h{v}"), F.col(f"t{v}") + F.col(f"a{v}"), 0.0) for v in range(3)]
     return per.groupBy("rep", *by).agg(F.avg((parts[0] + parts[1] + parts[2]) / 3.0).alias("macro_f1"))
 

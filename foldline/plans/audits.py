@@ -446,8 +446,7 @@ def named_reference_contrasts(spark: SparkSession, sf: str) -> DataFrame:
     refs = F.array(F.struct(F.lit("full").alias("reference"), F.col("truth").alias("t")), F.struct(F.lit("common").alias("reference"), F.when(F.col("_b"), F.col("truth")).alias("t")))
     rows = rows.select("idx", "seed", "axis", "predicted", F.inline(refs)).withColumnRenamed("t", "truth")
     rows = rows.withColumn("family", F.element_at(F.array(F.lit("base"), F.lit("tuned"), F.lit("retuned")), F.col("seed") + 1))
-    draws = inference.arithmetic_draws(at.agg(F.count("*").alias("n")).select(F.lit("all").alias("series"), "n"), 100, 3).drop("series")
-    scores = inference.masked_resampled(rows, draws, ("reference", "family"))
+    scores = inference.masked_resampled(rows, at.count(), 100, 3, ("reference", "family"))
     pairs = {"tuning": ("tuned", "base"), "retuning": ("retuned", "tuned"), "both": ("retuned", "base")}
     return rounded(inference.named_contrasts(scores, "family", pairs, ("reference",)), "low", "high")
 

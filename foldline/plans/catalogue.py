@@ -486,9 +486,7 @@ def masked_bootstrap_all(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of tuned less base runs (seeds 1 and 2 less seed 0) on all labelled documents: blocks of 3 positions drawn over their whole number."""
     at = labelled_positions(spark, sf)
     rows = seeded_runs(spark, sf).join(at, "doc_id").withColumn("family", F.when(F.col("seed") == 0, "base").otherwise("tuned"))
-    sizes = at.agg(F.count("*").alias("n")).select(F.lit("all").alias("series"), "n")
-    draws = inference.arithmetic_draws(sizes, 200, 3).drop("series")
-    scores = inference.masked_resampled(rows, draws, ("family",))
+    scores = inference.masked_resampled(rows, at.count(), 200, 3, ("family",))
     return rounded(inference.named_contrasts(scores, "family", {"tuned_effect": ("tuned", "base")}), "low", "high")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
+from foldline.operators import inference
 from foldline.plans import catalogue, tables
 
 
@@ -21,6 +24,22 @@ def test_masked_bootstrap_of_all_sees_later_documents(spark, tmp_path, monkeypat
     assert len(whole) == 1 and whole != catalogue.masked_bootstrap_all(spark, SMALL).collect()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 80, 83, 1024, 2 * 104729])
+def test_times_of_arithmetic_draws_need_no_draws(spark, n):
+    reps = 2 if n > 10_000 else 9
+    sizes = spark.createDataFrame([("a", n)], "series string, n long")
+    drawn = inference.arithmetic_draws(sizes, reps, 3).select("rep", "idx", "times")
+    every = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("id").alias("idx"))
+    told = every.withColumn("times", inference.arithmetic_times(F.col("idx"), F.col("rep"), n, 3)).where("times <> 0")
+    assert drawn.exceptAll(told).count() == told.exceptAll(drawn).count() == 0
+
+
+@pytest.mark.parametrize("made", [catalogue.masked_bootstrap_all])
+def test_resampled_rows_need_no_table_of_draws(spark, monkeypatch, made):
+    monkeypatch.setattr(inference, "arithmetic_draws", None)
+    assert made(spark, SMALL).count() > 0
+
+
 def test_every_document_is_dealt_to_one_origin(spark):
     data = tables.observed(spark, SMALL)
     made = tables.dealt_documents(spark, SMALL, data)
