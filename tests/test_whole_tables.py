@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from foldline.operators import inference
-from foldline.plans import catalogue, tables
+from foldline.plans import audits, catalogue, tables
 
 
 def test_positions_cover_all_labelled_documents(spark):
@@ -34,7 +34,7 @@ def test_times_of_arithmetic_draws_need_no_draws(spark, n):
     assert drawn.exceptAll(told).count() == told.exceptAll(drawn).count() == 0
 
 
-@pytest.mark.parametrize("made", [catalogue.masked_bootstrap_all])
+@pytest.mark.parametrize("made", [catalogue.masked_bootstrap_all, audits.named_reference_contrasts])
 def test_resampled_rows_need_no_table_of_draws(spark, monkeypatch, made):
     monkeypatch.setattr(inference, "arithmetic_draws", None)
     assert made(spark, SMALL).count() > 0
